@@ -1,4 +1,4 @@
-"""Shared helpers of the training-data operators: table access, shared storage and batch hashing.
+"""Shared helpers of the training-data operators: Arrow batches and hashing.
 
 The Python side works on Arrow batches.  A batch's strings are viewed as one
 ``uint8`` array plus offsets, and cut into slices of a few MB, so that memory is
@@ -7,47 +7,19 @@ bounded whatever the length of the texts.
 
 from __future__ import annotations
 
-import posixpath
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
-
-#: Bytes of text that are hashed at once.
-SLICE_BYTES = 1 << 21
-
-
-# --------------------------------------------------------------------------- tables and storage
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from pyspark.sql import DataFrame
 
+from ..storage import shared_dir, staged, table
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under the one that driver and executors share (``spark.checkpoint.dir``).
+__all__ = ["shared_dir", "staged", "table"]
 
-    Where the setting is empty (tests on one machine), a temporary folder serves.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return posixpath.join(root, f"loom-{uuid.uuid4().hex}")
-
-
-def staged(df: DataFrame, *partition_by: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Bytes of text that are hashed at once.
+SLICE_BYTES = 1 << 21
 
 
 # --------------------------------------------------------------------------- Arrow batches

@@ -39,37 +39,72 @@ SKIPPABLE_MAGIC = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
 WITH_CHECKSUMS = 0x80
 
-#: Distinct words whose ids a Python worker remembers; beyond it starts anew, so memory is bounded.
-WORDS_KEPT = 1_200_000
+#: Pieces of text whose ids a Python worker remembers before it starts a new set; the set before serves until then, so memory is bounded.
+PIECES_KEPT = 400_000
 
 DOC_TABLE = "doc_id long, part int, seq long, file string, frame int, frame_offset long, n_tokens long"
 
 
 class Encoder:
-    """Ids of texts.  The vocabulary drops white space, so a text's ids are those of its white-space-separated pieces in order, and each piece is encoded once."""
+    """Ids of texts, each distinct piece encoded once while it is remembered.
+
+    The vocabulary drops white space and never joins what it separates, so a text's ids are those of its white-space-separated
+    pieces in order.  It lower-cases, so A-Z can be lowered first (but for letters before a non-ASCII byte, which may be a
+    combining mark); and a run of letters never joins the punctuation behind it, so a piece's closing punctuation is encoded apart.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    @staticmethod
+    def parts(piece: bytes) -> tuple[bytes, bytes]:
+        """A piece as letters and closing punctuation; all in the first part if it isn't of that form."""
+        stem = piece.rstrip(b".,!?;:")
+        if stem and len(stem) < len(piece) and stem.decode()[-1].isalpha():
+            return stem, piece[len(stem) :]
+        return piece, b""
 
     def learn(self, pieces: set[bytes]) -> None:
-        if len(self.known) + len(pieces) > WORDS_KEPT:
-            self.known.clear()
-        new = list(pieces)
+        """Put the ids of ``pieces`` into ``known``."""
+        older, known = self.older, self.known
+        split, missing = [], set()
+        for piece in pieces:
+            if (ids := older.get(piece)) is not None:
+                known[piece] = ids
+                continue
+            split.append((piece, *(two := self.parts(piece))))
+            for x in two:
+                if x and x not in known:
+                    if (ids := older.get(x)) is not None:
+                        known[x] = ids
+                    else:
+                        missing.add(x)
+        new = list(missing)
         for i in range(0, len(new), 4096):
             some = new[i : i + 4096]
             for piece, got in zip(some, self.tokenizer.encode_batch_fast([x.decode() for x in some], add_special_tokens=False), strict=True):
-                self.known[piece] = np.array(got.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        pieces = [x.split() for x in texts]  # bytes.split() knows ASCII white space only
-        new = set().union(*pieces)
-        missing = new.difference(self.known)
+                known[piece] = np.array(got.ids, "<u4").tobytes()
+        for piece, stem, tail in split:
+            if tail:
+                known[piece] = known[stem] + known[tail]
+
+    def encode(self, raw: np.ndarray, at: np.ndarray) -> list[bytes]:
+        """Little-endian 32-bit ids of each row."""
+        data = raw.tobytes()
+        if b"<|" not in data:  # special tokens are matched before letters are lowered
+            lowered = common.LOWER[raw]
+            mark = np.flatnonzero(raw[1:] >= 0x80)
+            lowered[mark] = raw[mark]
+            data = lowered.tobytes()
+        pieces = [data[i:j].split() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]  # bytes.split() knows ASCII white space only
+        if len(self.known) > PIECES_KEPT:
+            self.older, self.known = self.known, {}
+        missing = set().union(*pieces).difference(self.known)
         if missing:
-            if len(self.known) + len(missing) > WORDS_KEPT:
-                missing = new
             self.learn(missing)
         get = self.known.__getitem__
         return [b"".join(map(get, x)) for x in pieces]
@@ -154,8 +189,7 @@ def write_tokens(documents: DataFrame, folder: str, vocabulary: str, *, end_id:
         rows: dict[str, list] = {k: [] for k in ("doc_id", "frame", "offset", "n")}
         for batch in batches:
             for some, raw, at in common.slices(batch):
-                data = raw.tobytes()
-                for ids in codec.encode([data[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]):
+                for ids in codec.encode(raw, at):
                     frame, offset = out.add(ids := ids + end)
                     rows["frame"].append(frame)
                     rows["offset"].append(offset)
