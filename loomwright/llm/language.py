@@ -77,6 +77,7 @@ def fit(labelled: DataFrame, *, bits: int = BUCKET_BITS, languages: int = LANGUA
 
     Counts are summed in tasks first; a row per language and bucket reaches the driver: ``languages * 2 ** bits`` at most.
     """
+    common.small_batches(labelled.sparkSession)
     known = labelled.select("lang", "text").filter("lang is not null and text is not null")
     names = sorted(r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect())
     if not names:

@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, mixing, tokens, warc
+from . import decontaminate, language, media, minhash, mixing, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_members": warc.op1_warc_members,
     "op2_pareto_mix": mixing.op2_pareto_mix,
+    "op3_circulant_minhash": minhash.op3_circulant_minhash,
+    "op5_media_chunks": media.op5_media_chunks,
     "op7_language_mixture": language.op7_language_mixture,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_token_frames": tokens.op9_token_frames,

@@ -40,7 +40,7 @@ SEEKABLE_MAGIC = 0x8F92EAB1
 WITH_CHECKSUMS = 0x80
 
 #: Pieces of text whose ids a Python worker remembers before it starts a new set; the set before serves until then, so memory is bounded.
-PIECES_KEPT = 400_000
+PIECES_KEPT = 500_000
 
 DOC_TABLE = "doc_id long, part int, seq long, file string, frame int, frame_offset long, n_tokens long"
 
@@ -83,15 +83,29 @@ class Encoder:
                         known[x] = ids
                     else:
                         missing.add(x)
-        new = list(missing)
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            for piece, got in zip(some, self.tokenizer.encode_batch_fast([x.decode() for x in some], add_special_tokens=False), strict=True):
-                known[piece] = np.array(got.ids, "<u4").tobytes()
+        letters = [x for x in missing if x.decode().isalpha()]
+        for i in range(0, len(letters), 4096):
+            self.encode_joined(letters[i : i + 4096])
+        self.encode_each([x for x in missing if x not in known])
         for piece, stem, tail in split:
             if tail:
                 known[piece] = known[stem] + known[tail]
 
+    def encode_joined(self, words: list[bytes], per_call: int = 200) -> None:
+        """Encode runs of letters many at a time: each is one word of the tokenizer.  Where the numbers differ, the words stay unknown."""
+        groups = [words[i : i + per_call] for i in range(0, len(words), per_call)]
+        for group, got in zip(groups, self.tokenizer.encode_batch([b" ".join(x).decode() for x in groups], add_special_tokens=False), strict=True):
+            of = np.array(got.word_ids)
+            if len(of) and of[-1] + 1 == len(group):
+                ids, at = np.array(got.ids, "<u4").tobytes(), (np.searchsorted(of, np.arange(len(group) + 1)) * 4).tolist()
+                self.known.update(zip(group, [ids[i:j] for i, j in zip(at[:-1], at[1:], strict=True)], strict=True))
+
+    def encode_each(self, pieces: list[bytes]) -> None:
+        for i in range(0, len(pieces), 4096):
+            some = pieces[i : i + 4096]
+            for piece, got in zip(some, self.tokenizer.encode_batch_fast([x.decode() for x in some], add_special_tokens=False), strict=True):
+                self.known[piece] = np.array(got.ids, "<u4").tobytes()
+
     def encode(self, raw: np.ndarray, at: np.ndarray) -> list[bytes]:
         """Little-endian 32-bit ids of each row."""
         data = raw.tobytes()
@@ -180,6 +194,7 @@ def write_tokens(documents: DataFrame, folder: str, vocabulary: str, *, end_id:
     ``frame_bytes``, but for the last.  Memory of a task: one file, compressed.
     """
     spark = documents.sparkSession
+    common.small_batches(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     end = struct.pack("<I", end_id)
 
@@ -188,7 +203,7 @@ def write_tokens(documents: DataFrame, folder: str, vocabulary: str, *, end_id:
         codec, out, name, done = encoder(vocabulary), FrameWriter(frame_bytes, level), f"{folder}/tokens-{part:08d}.bin", 0
         rows: dict[str, list] = {k: [] for k in ("doc_id", "frame", "offset", "n")}
         for batch in batches:
-            for some, raw, at in common.slices(batch):
+            for some, raw, at in common.slices(batch, limit=1 << 20):
                 for ids in codec.encode(raw, at):
                     frame, offset = out.add(ids := ids + end)
                     rows["frame"].append(frame)

@@ -109,6 +109,7 @@ def page_number(urn: str | None) -> int | None:
 def with_record_types(pages: DataFrame, min_revisit_bytes: int) -> DataFrame:
     """Adds payload, digest, is_revisit and refers_to.  Only digests and ids are shuffled to find the responses."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    common.small_batches(pages.sparkSession)
     given = pages.select("page_id", "url", payload.alias("payload")).withColumn("sha1", F.unhex(F.sha1("payload")))
     responses = given.filter(F.octet_length("payload") >= min_revisit_bytes).groupBy("sha1").agg(F.max("page_id").alias("response_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     # few digests repeat: the lookup is small, and Spark broadcasts it or splits hot digests as its size asks
