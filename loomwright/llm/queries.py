@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, media, minhash, mixing, tokens, warc
+from . import crossentropy, decontaminate, language, lempelziv, media, minhash, mixing, suffixes, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_members": warc.op1_warc_members,
     "op2_pareto_mix": mixing.op2_pareto_mix,
     "op3_circulant_minhash": minhash.op3_circulant_minhash,
+    "op4_cross_entropy": crossentropy.op4_cross_entropy,
     "op5_media_chunks": media.op5_media_chunks,
+    "op6_relative_parse": lempelziv.op6_relative_parse,
     "op7_language_mixture": language.op7_language_mixture,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_token_frames": tokens.op9_token_frames,
+    "op10_suffix_dedup": suffixes.op10_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_pareto_mix": mixing.OP2_SQL}
