@@ -1,10 +1,8 @@
-"""Registered queries over the given tables, and the SQL that they are held against."""
+"""All registered queries over the given tables, and the SQL that they are held against."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .plans import filters, scalars  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
