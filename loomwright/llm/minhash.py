@@ -11,8 +11,9 @@ of 0.8 is missed with probability (1 - 0.8 ** 4) ** 24 < 4e-6.
 
 Documents with equal sets form a class, and only one of a class goes on.  Buckets of candidates are never
 expanded into all pairs: first every member is compared with the bucket's first member, then what is still unconnected with
-its last, components are contracted, and only pairs of members of one bucket that lie in different components are compared
-after that - all of them, so no link is lost that the bands have found.
+its last, components are contracted, and after that only pairs of members of one bucket that lie in different components are compared,
+and of those only pairs that can be linked: shingles that no other remaining document has are in no intersection, which
+bounds it.  All of these are compared, so no link is lost that the bands have found.
 
 doc_id must identify a text: rows with equal doc_id and text are allowed and get equal results.  Null
 texts have no words.  An empty table gives no rows.  Extra columns are kept by :func:`one_of_each` and ignored elsewhere.
@@ -28,9 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from . import common
+from . import bloom, common
 
 BANDS, ROWS = 24, 4
+#: Bits of the filter of documents whose texts are compared.
+FILTER_BITS = 1 << 24
 _U32, _U64 = np.uint32, np.uint64
 
 
@@ -117,10 +120,37 @@ def signed_documents(documents: DataFrame, shingle: int, bands: int = BANDS, row
     return common.over_batches(documents.select("doc_id", "text"), work, SIGNED)
 
 
-def confirm(pairs: DataFrame, documents: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) that are linked, judged on the full sets of their texts."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = common.staged(documents.select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+def texts_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id and text of the documents in ``wanted`` (doc); a Bloom filter spares the shuffle of most other texts."""
+    held = bloom.build(wanted.select("doc").filter("doc is not null"), FILTER_BITS)
+
+    def work() -> object:
+        def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            yield batch.filter(pa.array(bloom.contains(held.value, batch.column("doc_id").fill_null(0).to_numpy())))
+
+        return run
+
+    maybe = common.over_batches(documents.select("doc_id", "text"), work, "doc_id long, text string")
+    return common.staged(maybe.join(wanted.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+
+
+def lone_shingles(texts: DataFrame, shingle: int) -> DataFrame:
+    """doc and lone: for each of ``texts``, how many of its shingles none of the others has."""
+
+    def work() -> object:
+        def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for some, raw, at in common.slices(batch):
+                hashes, of = shingle_hashes(raw, at, shingle)
+                yield pa.RecordBatch.from_arrays([common.signed(hashes), some.column("doc_id").take(pa.array(common.rows_of(of)))], names=["h", "doc"])
+
+        return run
+
+    each = common.over_batches(texts.select("doc_id", "text"), work, "h long, doc long")
+    return each.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("doc").alias("doc")).filter("m = 1").groupBy("doc").agg(F.count(F.lit(1)).alias("lone"))
+
+
+def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) that are linked, judged on the full sets of their ``texts``."""
     both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
 
     def work() -> object:
@@ -162,6 +192,7 @@ def near_duplicates(documents: DataFrame, *, shingle: int = 5, percent: int = 80
     shared = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("bucket")
     members = common.staged(dealt.join(shared, "bucket"))
 
+    texts = texts_of(documents, members)
     labels, tested, links = None, None, None
     for hub in (F.min, F.max, None):
         named = members.withColumn("component", F.col("doc"))
@@ -174,9 +205,17 @@ def near_duplicates(documents: DataFrame, *, shingle: int = 5, percent: int = 80
         else:
             # buckets that still hold several components: a bucket's member meets those of other components
             open_ = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
-            left = named.join(open_, "bucket")
-            right = left.select("bucket", F.col("doc").alias("doc_b"), F.col("n").alias("n_b"), F.col("component").alias("component_b"))
-            pairs = left.join(right, "bucket").filter("doc < doc_b and component <> component_b").select(F.col("doc").alias("a"), F.col("doc_b").alias("b"), F.col("n").alias("n_a"), "n_b")
+            rest = common.staged(named.join(open_, "bucket"))
+            # shingles that none of the rest shares can't be in an intersection: with too many of them a document has no partner
+            lone = lone_shingles(texts.join(rest.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"), shingle)
+            bound = F.col("n") - F.coalesce("lone", F.lit(0))
+            left = rest.join(lone, "doc", "left").select("bucket", "doc", "n", "component", bound.alias("most")).filter(F.col("most") * 100 >= F.col("n") * percent)
+            left = common.staged(left)
+            right = left.select("bucket", F.col("doc").alias("doc_b"), F.col("n").alias("n_b"), F.col("component").alias("component_b"), F.col("most").alias("most_b"))
+            # an intersection of i shingles is enough if 100 * i >= percent * (n_a + n_b - i)
+            possible = F.least("most", "most_b") * (100 + percent) >= (F.col("n") + F.col("n_b")) * percent
+            pairs = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("doc") < F.col("doc_b")) & (F.col("component") != F.col("component_b")) & possible)
+            pairs = pairs.select(F.col("doc").alias("a"), F.col("doc_b").alias("b"), F.col("n").alias("n_a"), "n_b")
         # a set of n shingles can't be linked with one of more than n * 100 / percent
         pairs = pairs.filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tested is not None:
@@ -184,7 +223,7 @@ def near_duplicates(documents: DataFrame, *, shingle: int = 5, percent: int = 80
         pairs = common.staged(pairs)
         if not pairs.limit(1).count():
             continue
-        confirmed = common.staged(confirm(pairs, documents, shingle, percent))
+        confirmed = common.staged(confirm(pairs, texts, shingle, percent))
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = confirmed if links is None else links.unionByName(confirmed)
         labels = common.staged(connected_components(links))
