@@ -1,9 +1,9 @@
 """Where windows of symbols repeat: what exact substring deduplication of bytes and of words shares.
 
 A window is ``window`` consecutive symbols of one document.  Its anchor is the smallest hash among its seeds (``seed``
-consecutive symbols each), the leftmost of equal ones; so equal windows have equal anchors at equal places.
-Consecutive windows with one anchor make a stretch.  Two equal windows lie in stretches of one anchor, so
-stretches are dealt by anchor and nothing else must meet.
+consecutive symbols each), so equal windows have equal anchors.  Consecutive windows with one anchor make a stretch, of
+``CAP`` times as many windows as a window has seeds at most.  Two equal windows lie in stretches of one anchor, so
+stretches are dealt by anchor and nothing else must meet.  (Text that repeats with a short period makes few, long stretches.)
 
 1. Anchors alone are counted by Spark; a Bloom filter of fixed size over those that repeat is broadcast.
 2. Stretches whose anchor is in it are written with their text, and reduced to distinct ones per anchor: first occurrence
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from . import bloom, common
 
 _U = np.uint64
-#: Low bits of a sliding minimum hold the place, so ties go to the left; slices are shorter than this.
-PLACE_BITS = 28
+#: Longest stretch, in windows, as a multiple of the seeds of a window.
+CAP = 4
 ANCHOR_FILTER_BITS = 1 << 27
 DOC_FILTER_BITS = 1 << 24
 
@@ -41,48 +41,53 @@ class Symbols:
     seed: int
     cut: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
+    @property
+    def seeds(self) -> int:
+        """Seeds in a window: only a stretch of more windows can hold one window twice."""
+        return self.window - self.seed + 1
+
 
 def stretches(codes: np.ndarray, of: np.ndarray, window: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, first window (place in ``codes``), number of windows and anchor hash of each stretch."""
+    """Row, first window (place in ``codes``), number of windows and anchor of each stretch."""
     n, w = len(codes), window - seed + 1
     none = np.zeros(0, np.int64)
     if n < window:
         return none, none, none, none.view(_U)
-    if n >= 1 << PLACE_BITS:
-        raise ValueError("a document has too many symbols")
     places = np.arange(n - seed + 1)
-    hashes = common.range_hashes(codes, places, places + seed)
-    least = (hashes >> _U(PLACE_BITS) << _U(PLACE_BITS)) | places.astype(_U)
+    least = common.range_hashes(codes, places, places + seed)
     span = 1
     while span * 2 <= w:
         least = np.minimum(least[:-span], least[span:])
         span *= 2
-    if span < w:
-        least = np.minimum(least[: len(least) - (w - span)], least[w - span :])
-    anchor = (least & _U((1 << PLACE_BITS) - 1)).astype(np.int64)  # of the window at each place
-    row = common.rows_of(of)
-    ends = of[row[: len(anchor)] + 1]
-    valid = np.arange(len(anchor)) + window <= ends
-    first = valid.copy()
-    first[1:] &= ~valid[:-1] | (anchor[1:] != anchor[:-1])
-    # windows of two rows never share an anchor: the anchor lies in the window
+    rest = w - span
+    if rest:
+        least = np.minimum(least[:-rest], least[rest:])
+    row = common.rows_of(of)[: len(least)]  # least: the anchor of the window at each place
+    valid = np.arange(len(least)) + window <= of[row + 1]
+    differs = ~valid[:-1] | (least[1:] != least[:-1])  # two rows are never neighbours: a row's last places begin no window
+    first, last = valid.copy(), valid.copy()
+    first[1:] &= differs
+    last[:-1] &= ~valid[1:] | (least[1:] != least[:-1])
     start = np.flatnonzero(first)
-    last = valid.copy()
-    last[:-1] &= ~valid[1:] | (anchor[1:] != anchor[:-1])
-    return row[start], start, np.flatnonzero(last) + 1 - start, hashes[anchor[start]]
+    length = np.flatnonzero(last) + 1 - start
+    pieces = -(-length // (CAP * w))
+    k = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    begin = np.repeat(start, pieces) + k * (CAP * w)
+    return row[begin], begin, np.minimum(np.repeat(start + length, pieces) - begin, CAP * w), least[begin]
 
 
 OCCURRENCE = "anchor long, stretch long, doc_id long, start int, n int, content binary"
 
 
 def repeated_anchors(documents: DataFrame, symbols: Symbols) -> DataFrame:
-    """anchor: hashes that stretches share."""
+    """anchor: those that stretches share, and those of stretches that can repeat within."""
 
     def work() -> object:
         def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for _, raw, at in common.slices(batch):
                 codes, of, _, _ = symbols.cut(raw, at)
-                yield pa.RecordBatch.from_arrays([common.signed(stretches(codes, of, symbols.window, symbols.seed)[3])], names=["anchor"])
+                _, _, n, anchor = stretches(codes, of, symbols.window, symbols.seed)
+                yield pa.RecordBatch.from_arrays([common.signed(np.concatenate([anchor, anchor[n > symbols.seeds]]))], names=["anchor"])
 
         return run
 
@@ -136,12 +141,25 @@ def ranges_of(places: np.ndarray) -> list[dict[str, int]]:
 
 
 def marked_stretches(distinct: DataFrame, symbols: Symbols, compare: Callable[[pa.Table], list[list[dict[str, int]]]], *, group_limit: int, any_other: bool) -> DataFrame:
-    """:data:`MARKED`: which windows of each distinct stretch repeat one of another stretch (an earlier one, unless ``any_other``).
+    """:data:`MARKED`: which windows of each distinct stretch repeat another window (an earlier one, unless ``any_other``).
 
     ``compare`` gets rows of whole groups, sorted by anchor, and returns window ranges for each row.
     """
-    sizes = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    sized = distinct.join(sizes, "anchor")
+    sizes = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("most")).filter((F.col("m") > 1) | (F.col("most") > symbols.seeds))
+    sizes = common.staged(sizes.select("anchor", (F.col("m") > group_limit).alias("hot")))
+    held = bloom.build(sizes.filter("not hot").select("anchor"), ANCHOR_FILTER_BITS)
+
+    def to_compare() -> object:
+        def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            yield batch.filter(pa.array(bloom.contains(held.value, batch.column("anchor").to_numpy())))
+
+        return run
+
+    hot_anchors = sizes.filter("hot").select("anchor")
+    small = common.over_batches(distinct, to_compare, DISTINCT)
+    has_hot = bool(hot_anchors.limit(1).count())
+    if has_hot:
+        small = small.join(hot_anchors, "anchor", "left_anti")
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = ["anchor", "stretch", "doc_id", "start", "times", "ranges"]
     kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
@@ -170,8 +188,9 @@ def marked_stretches(distinct: DataFrame, symbols: Symbols, compare: Callable[[p
         if held:
             yield from done(pa.Table.from_batches(held))
 
-    grouped = sized.filter(F.col("m") <= group_limit).drop("m").repartition(n, "anchor").sortWithinPartitions("anchor", "stretch")
-    grouped = grouped.mapInArrow(in_groups, MARKED)
+    grouped = small.repartition(n, "anchor").sortWithinPartitions("anchor", "stretch").mapInArrow(in_groups, MARKED)
+    if not has_hot:
+        return common.staged(grouped)
 
     def windows() -> object:
         def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -189,7 +208,7 @@ def marked_stretches(distinct: DataFrame, symbols: Symbols, compare: Callable[[p
 
         return run
 
-    hot = common.over_batches(sized.filter(F.col("m") > group_limit).drop("m"), windows, "h1 long, h2 long, offset int, anchor long, stretch long, doc_id long, start int, times long")
+    hot = common.over_batches(distinct.join(hot_anchors, "anchor", "left_semi"), windows, "h1 long, h2 long, offset int, anchor long, stretch long, doc_id long, start int, times long")
     at_ = F.struct("doc_id", (F.col("start") + F.col("offset")).alias("at"))
     hot = common.staged(hot)
     classes = hot.groupBy("h1", "h2").agg(F.min(at_).alias("first"), F.sum("times").alias("all"))
@@ -202,7 +221,8 @@ def marked_stretches(distinct: DataFrame, symbols: Symbols, compare: Callable[[p
 def repeated_spans(found: DataFrame, distinct: DataFrame, marked: DataFrame, window: int, *, any_other: bool) -> DataFrame:
     """doc_id and spans (symbols covered by repeated windows, as sorted start and end, which may overlap) of the documents that have some."""
     decided = distinct.select("anchor", "stretch", "doc_id", "start", "times").join(marked.select("anchor", "stretch", "ranges"), ["anchor", "stretch"], "left").filter("times > 1 or size(ranges) > 0")
-    decided = decided.select("anchor", "stretch", F.col("doc_id").alias("first_doc"), F.col("start").alias("first_start"), "times", "ranges")
+    # as a table of its own, so that the next join has plain exchanges on both sides and Spark can split a hot stretch
+    decided = common.staged(decided.select("anchor", "stretch", F.col("doc_id").alias("first_doc"), F.col("start").alias("first_start"), "times", "ranges"))
     each = found.select("anchor", "stretch", "doc_id", "start", "n").join(decided, ["anchor", "stretch"])
     whole = F.array(F.struct(F.lit(0).alias("lo"), F.col("n").alias("hi")))
     all_of_it = F.col("times") > 1 if any_other else ~(F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("start") == F.col("first_start")))
