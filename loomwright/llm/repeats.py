@@ -41,20 +41,15 @@ class Symbols:
     seed: int
     cut: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
-    @property
-    def seeds(self) -> int:
-        """Seeds in a window: only a stretch of more windows can hold one window twice."""
-        return self.window - self.seed + 1
 
-
-def stretches(codes: np.ndarray, of: np.ndarray, window: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, first window (place in ``codes``), number of windows and anchor of each stretch."""
+def stretches(codes: np.ndarray, of: np.ndarray, window: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first window (place in ``codes``), number of windows and anchor of each stretch; and the hashes of all seeds."""
     n, w = len(codes), window - seed + 1
     none = np.zeros(0, np.int64)
     if n < window:
-        return none, none, none, none.view(_U)
+        return none, none, none, none.view(_U), none.view(_U)
     places = np.arange(n - seed + 1)
-    least = common.range_hashes(codes, places, places + seed)
+    hashes = least = common.range_hashes(codes, places, places + seed)
     span = 1
     while span * 2 <= w:
         least = np.minimum(least[:-span], least[span:])
@@ -73,10 +68,22 @@ def stretches(codes: np.ndarray, of: np.ndarray, window: int, seed: int) -> tupl
     pieces = -(-length // (CAP * w))
     k = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     begin = np.repeat(start, pieces) + k * (CAP * w)
-    return row[begin], begin, np.minimum(np.repeat(start + length, pieces) - begin, CAP * w), least[begin]
+    return row[begin], begin, np.minimum(np.repeat(start + length, pieces) - begin, CAP * w), least[begin], hashes
+
+
+def inner_repeats(hashes: np.ndarray, begin: np.ndarray, n: np.ndarray, anchor: np.ndarray, seeds: int) -> np.ndarray:
+    """Whether a stretch's anchor occurs in it more than once: only then can it hold one window twice."""
+    out = np.zeros(len(begin), bool)
+    for i in range(0, len(begin), 1 << 13):
+        size = n[i : i + (1 << 13)] + seeds - 1
+        at = np.cumsum(size) - size
+        place = np.arange(int(size.sum())) + np.repeat(begin[i : i + (1 << 13)] - at, size)
+        same = hashes[place] == np.repeat(anchor[i : i + (1 << 13)], size)
+        out[i : i + (1 << 13)] = np.add.reduceat(same.astype(np.int32), at) > 1
+    return out
 
 
-OCCURRENCE = "anchor long, stretch long, doc_id long, start int, n int, content binary"
+OCCURRENCE = "anchor long, stretch long, doc_id long, start int, n int, inner boolean, content binary"
 
 
 def repeated_anchors(documents: DataFrame, symbols: Symbols) -> DataFrame:
@@ -86,8 +93,9 @@ def repeated_anchors(documents: DataFrame, symbols: Symbols) -> DataFrame:
         def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for _, raw, at in common.slices(batch):
                 codes, of, _, _ = symbols.cut(raw, at)
-                _, _, n, anchor = stretches(codes, of, symbols.window, symbols.seed)
-                yield pa.RecordBatch.from_arrays([common.signed(np.concatenate([anchor, anchor[n > symbols.seeds]]))], names=["anchor"])
+                _, start, n, anchor, hashes = stretches(codes, of, symbols.window, symbols.seed)
+                inner = inner_repeats(hashes, start, n, anchor, symbols.window - symbols.seed + 1)
+                yield pa.RecordBatch.from_arrays([common.signed(np.concatenate([anchor, anchor[inner]]))], names=["anchor"])
 
         return run
 
@@ -102,15 +110,16 @@ def occurrences(documents: DataFrame, symbols: Symbols) -> DataFrame:
         def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for some, raw, at in common.slices(batch):
                 codes, of, begin, end = symbols.cut(raw, at)
-                row, start, n, anchor = stretches(codes, of, symbols.window, symbols.seed)
+                row, start, n, anchor, hashes = stretches(codes, of, symbols.window, symbols.seed)
                 keep = bloom.contains(held.value, anchor)
                 row, start, n, anchor = row[keep], start[keep], n[keep], anchor[keep]
                 if not len(row):
                     continue
+                inner = inner_repeats(hashes, start, n, anchor, symbols.window - symbols.seed + 1)
                 last = start + n + symbols.window - 1  # the symbol behind the stretch
                 a, b, data = begin[start].tolist(), end[last - 1].tolist(), raw.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [common.signed(anchor), common.signed(common.range_hashes(codes, start, last)), some.column("doc_id").take(pa.array(row)), pa.array((start - of[row]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array([data[i:j] for i, j in zip(a, b, strict=True)], pa.binary())],
+                    [common.signed(anchor), common.signed(common.range_hashes(codes, start, last)), some.column("doc_id").take(pa.array(row)), pa.array((start - of[row]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(inner), pa.array([data[i:j] for i, j in zip(a, b, strict=True)], pa.binary())],
                     names=[x.split()[0] for x in OCCURRENCE.split(", ")],
                 )
 
@@ -119,7 +128,7 @@ def occurrences(documents: DataFrame, symbols: Symbols) -> DataFrame:
     return common.staged(common.over_batches(documents.select("doc_id", "text"), work, OCCURRENCE))
 
 
-DISTINCT = "anchor long, stretch long, doc_id long, start int, n int, times long, content binary"
+DISTINCT = "anchor long, stretch long, doc_id long, start int, n int, inner boolean, times long, content binary"
 MARKED = "anchor long, stretch long, doc_id long, start int, times long, ranges array<struct<lo: int, hi: int>>"
 
 
@@ -127,8 +136,8 @@ def distinct_stretches(found: DataFrame) -> DataFrame:
     """:data:`DISTINCT`: one row per anchor and content, with its first occurrence and the number of all."""
     return common.staged(
         found.groupBy("anchor", "stretch")
-        .agg(F.min(F.struct("doc_id", "start")).alias("first"), F.first("n").alias("n"), F.count(F.lit(1)).alias("times"), F.first("content").alias("content"))
-        .select("anchor", "stretch", F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("start"), "n", "times", "content")
+        .agg(F.min(F.struct("doc_id", "start")).alias("first"), F.first("n").alias("n"), F.first("inner").alias("inner"), F.count(F.lit(1)).alias("times"), F.first("content").alias("content"))
+        .select("anchor", "stretch", F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("start"), "n", "inner", "times", "content")
     )
 
 
@@ -145,7 +154,7 @@ def marked_stretches(distinct: DataFrame, symbols: Symbols, compare: Callable[[p
 
     ``compare`` gets rows of whole groups, sorted by anchor, and returns window ranges for each row.
     """
-    sizes = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("most")).filter((F.col("m") > 1) | (F.col("most") > symbols.seeds))
+    sizes = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.bool_or("inner").alias("inner")).filter("m > 1 or inner")
     sizes = common.staged(sizes.select("anchor", (F.col("m") > group_limit).alias("hot")))
     held = bloom.build(sizes.filter("not hot").select("anchor"), ANCHOR_FILTER_BITS)
 
