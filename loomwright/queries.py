@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import aggregates, filters, joins, scalars, series, windows  # noqa: F401
+from .plans import aggregates, filters, graphs, joins, scalars, series, state, windows  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
