@@ -250,8 +250,9 @@ def clean_documents(documents: DataFrame, benchmark: DataFrame, *, window: int =
     def work() -> object:
         def clean(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for some, raw, at in common.slices(batch):
-                start, end, of = common.word_spans(raw, at, common.NOT_ALNUM)
-                hashes = common.byte_hashes(common.LOWER[raw], start, end)
+                lowered = common.LOWER[raw]  # A-Z are letters only once they are lowered
+                start, end, of = common.word_spans(lowered, at, common.NOT_ALNUM)
+                hashes = common.byte_hashes(lowered, start, end)
                 found: dict[int, list] = {}
                 for block in held:
                     for r, s, _ in block.value.scan(hashes, of):
