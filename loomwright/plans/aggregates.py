@@ -253,3 +253,25 @@ def active_sources_by_country(spark: SparkSession, sf_dir: str) -> DataFrame:
 def contested_and_gap_watch(spark: SparkSession, sf_dir: str) -> DataFrame:
     category = X.first_match([("SPARSE", F.col("families") < 20), ("THIN", F.col("support") < 3)], "OTHER")
     return _hypotheses(spark, sf_dir).groupBy(category.alias("category")).agg(F.count_if(F.col("against") > 0).alias("n_contested"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""with c as (select user_id, count(distinct event_type) as origins, count(*) filter (event_type = 'view') as own, count(*) filter (value is null) as unknown, count(*) filter (event_type = 'purchase') as direct, count(*) as n from events where value > 20 group by 1)
+select user_id, case when origins < 3 then 'FEW_ORIGINS' when own = n then 'SELF_REPORT_ONLY' when unknown > 0 then 'UNKNOWN_TIER' when direct < 5 then 'INDIRECT' else 'SUFFICIENT' end as outcome,
+ array_to_string(list_filter([case when origins < 3 then 'FEW_ORIGINS' end, case when own = n then 'SELF_REPORT_ONLY' end, case when unknown > 0 then 'UNKNOWN_TIER' end, case when direct < 5 then 'INDIRECT' end], lambda x: x is not null), ',') as trail from c""")
+def hypothesis_sufficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Guards in order over each hypothesis' claims: the first that fails, and the trail of all."""
+    kind = F.col("event_type")
+    c = table(spark, sf_dir, "events").filter("value > 20").groupBy("user_id")
+    c = c.agg(F.countDistinct("event_type").alias("origins"), F.count_if(kind == "view").alias("own"), F.count_if(F.col("value").isNull()).alias("unknown"), F.count_if(kind == "purchase").alias("direct"), F.count(F.lit(1)).alias("n"))
+    guards = [("FEW_ORIGINS", F.col("origins") < 3), ("SELF_REPORT_ONLY", F.col("own") == F.col("n")), ("UNKNOWN_TIER", F.col("unknown") > 0), ("INDIRECT", F.col("direct") < 5)]
+    return c.select("user_id", X.first_match(guards, "SUFFICIENT").alias("outcome"), F.array_join(X.matched(guards), ",").alias("trail"))
+
+
+@query("""select substr(sha256('reg|' || o_orderkey), 1, 16) as document_id, o_orderpriority || ',' || o_orderstatus as agencies, strftime(o_orderdate, '%Y-%m-%d')::date as published, substr(repeat('x', (o_orderkey % 700)::int), 1, 500) as excerpt from orders""")
+def canonicalize_api_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of an API envelope as canonical documents: hashed id, flattened names, padded date parts, excerpt of 500 characters."""
+    o = table(spark, sf_dir, "orders")
+    day = F.col("o_orderdate")
+    record = F.struct(F.col("o_orderkey").alias("number"), F.array(F.struct(F.col("o_orderpriority").alias("name")), F.struct(F.col("o_orderstatus").alias("name"))).alias("agencies"), F.array(F.year(day), F.month(day), F.day(day)).alias("parts"), F.expr("repeat('x', int(o_orderkey % 700))").alias("abstract"))
+    r = o.select(F.from_json(F.to_json(record), "number bigint, agencies array<struct<name:string>>, parts array<int>, abstract string").alias("r")).select("r.*")
+    return r.select(F.substring(F.sha2(F.concat(F.lit("reg|"), F.col("number").cast("string")), 256), 1, 16).alias("document_id"), F.array_join(F.transform("agencies", lambda a: a["name"]), ",").alias("agencies"), F.try_to_date(F.concat_ws("-", F.element_at("parts", 1).cast("string"), F.lpad(F.element_at("parts", 2).cast("string"), 2, "0"), F.lpad(F.element_at("parts", 3).cast("string"), 2, "0"))).alias("published"), F.substring("abstract", 1, 500).alias("excerpt"))
