@@ -34,11 +34,17 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_ROWS)
 
 
+#: Caches that a Python worker keeps between tasks of one operator; other operators' tasks empty them.
+CACHES: list[dict] = []
+
+
 def over_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | None]], schema: str) -> DataFrame:
     """``df.mapInArrow`` with one function made per task."""
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cache in CACHES:
+            cache.clear()
         work = make()
         for batch in batches:
             if batch.num_rows:

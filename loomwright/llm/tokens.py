@@ -125,6 +125,7 @@ class Encoder:
 
 
 _encoders: dict[str, Encoder] = {}
+common.CACHES.append(_encoders)
 
 
 def encoder(path: str) -> Encoder:
