@@ -182,6 +182,22 @@ def test_losses_are_those_of_the_formula(spark):
     assert crossentropy.score(table(spark, rows), target.limit(0)).count() == len(rows)
 
 
+def test_every_word_and_bigram_has_its_own_count(spark):
+    """More distinct words than any fixed vocabulary, over many blocks: rare words and bigrams keep their exact counts."""
+    r = random.Random(5)
+    rows = [(i, " ".join([f"w{i}x{k}" for k in range(700)] + [f"v{r.randrange(40)}" for _ in range(30)])) for i in range(120)]
+    got = collected(crossentropy.score(table(spark, rows), spark.createDataFrame([(3,), (8,)], "doc_id long")))
+    words = {i: t.split() for i, t in rows}
+    size = len({w for x in words.values() for w in x})
+    assert size > 1 << 16
+    for place, ids in enumerate(([3, 8], list(words)), 1):
+        single, pair = Counter(w for i in ids for w in words[i]), Counter(p for i in ids for p in zip([None, *words[i]], words[i], strict=False))
+        total = sum(single.values())
+        for i in (0, 3, 8, 77):
+            p = [((single[b] + 1) / (total + size + 1), pair[a, b], len(ids) if a is None else single[a]) for a, b in zip([None, *words[i]], words[i], strict=False)]
+            assert got[i][place] == pytest.approx(-sum(math.log2((c + crossentropy.MASS * q) / (n + crossentropy.MASS)) for q, c, n in p) / len(p))
+
+
 def test_score_tells_good_from_bad(spark, sf_dir):
     scored = queries.QUERIES["op4_cross_entropy"](spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id")
     means = {r.quality: r.m for r in scored.groupBy("quality").agg({"score": "avg"}).withColumnRenamed("avg(score)", "m").collect()}
