@@ -1,11 +1,11 @@
 """Language identification by mixture inference.
 
 :func:`fit` counts byte trigrams of words (lower-cased A-Z, with one space before and after) per language over all
-labelled rows, in hashed buckets: a table of ``len(languages) * buckets`` log-likelihoods, so its size has a bound.
+labelled rows, in hashed buckets: a table of ``len(languages) * buckets`` log-likelihoods, 256 KB for each language.
 :func:`predict` treats a document as a mixture of languages whose words were each written in one
 of them: expectation-maximisation over the word likelihoods estimates the proportions.  The set of
 languages is chosen by penalised likelihood: the sets of the 1, 2, ... most probable
-languages are fitted, and the one with the smallest ``-2 log L + k log(words)`` is taken.  The prediction is the
+languages are fitted, as long as the next one has half a word's share or more, and the one with the smallest ``-2 log L + k log(words)`` is taken.  The prediction is the
 language with the largest share, the score that share.
 
 Null texts, and texts without a letter, are ``und`` with score 0.  Ties of share go to the first language in code-point
@@ -29,10 +29,8 @@ from . import common
 
 BUCKET_BITS = 16
 ROUNDS = 10
-#: Sets of more languages than this aren't tried.
-LARGEST_SET = 3
-#: Languages beyond the most frequent ones aren't learned.
-LANGUAGES = 256
+#: Languages whose counts a task holds before it hands them on.
+HELD_LANGUAGES = 256
 UNKNOWN = "und"
 
 
@@ -72,28 +70,39 @@ def gram_buckets(raw: np.ndarray, at: np.ndarray, bits: int = BUCKET_BITS) -> tu
     return (key >> np.uint32(32 - bits))[~space].astype(np.int64), np.concatenate([[0], np.cumsum(end - start)]), of
 
 
-def fit(labelled: DataFrame, *, bits: int = BUCKET_BITS, languages: int = LANGUAGES) -> Model:
+def fit(labelled: DataFrame, *, bits: int = BUCKET_BITS) -> Model:
     """Learn from every row of ``labelled`` (text, lang).
 
-    Counts are summed in tasks first; a row per language and bucket reaches the driver: ``languages * 2 ** bits`` at most.
+    Counts are summed in tasks first; a row per language and bucket reaches the driver: ``2 ** bits`` for each language at most.
     """
     common.small_batches(labelled.sparkSession)
     known = labelled.select("lang", "text").filter("lang is not null and text is not null")
-    names = sorted(r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect())
+    names = sorted(r["lang"] for r in known.select("lang").distinct().collect())
     if not names:
         return Model([], np.zeros((0, 1 << bits), np.float32))
     number = {x: i for i, x in enumerate(names)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(names) << bits, np.int64)
+        total: dict[int, np.ndarray] = {}
+
+        def out() -> pa.RecordBatch:
+            cells = {k: np.flatnonzero(x) for k, x in total.items()}
+            columns = [np.concatenate([k << bits | x for k, x in cells.items()]), np.concatenate([total[k][x] for k, x in cells.items()])]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["cell", "n"])
+
         for batch in batches:
             for some, raw, at in common.slices(batch):
                 which = np.array([number.get(x, -1) for x in some.column("lang").to_pylist()], np.int64)
                 grams, words, of = gram_buckets(raw, at, bits)
                 row = np.repeat(which, np.diff(words[of]))
-                total += np.bincount((row[row >= 0] << bits) | grams[row >= 0], minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "n"])
+                for k in np.unique(row[row >= 0]).tolist():
+                    n = np.bincount(grams[row == k], minlength=1 << bits)
+                    total[k] = total[k] + n if k in total else n
+                    if len(total) > HELD_LANGUAGES:
+                        yield out()
+                        total.clear()
+        if total:
+            yield out()
 
     counts = np.zeros(len(names) << bits, np.float64)
     rows = known.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
@@ -120,7 +129,7 @@ def _em(scaled: np.ndarray, row: np.ndarray, first: np.ndarray, n: np.ndarray, t
     return theta, np.add.reduceat(np.log(np.maximum((scaled * theta[:, row]).sum(0), 1e-30)), first)
 
 
-def mixtures(likelihoods: np.ndarray, of: np.ndarray, rounds: int = ROUNDS, largest: int = LARGEST_SET) -> np.ndarray:
+def mixtures(likelihoods: np.ndarray, of: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
     """Share of each language (column) in each document (row): zero outside the chosen set; all zero for documents without words."""
     n_all, langs = np.diff(of), len(likelihoods)
     out = np.zeros((len(n_all), langs))
@@ -139,7 +148,7 @@ def mixtures(likelihoods: np.ndarray, of: np.ndarray, rounds: int = ROUNDS, larg
     best, score = np.zeros_like(theta), -2 * single[best_one, all_] + penalty
     best[best_one, all_] = 1
     open_ = all_
-    for k in range(2, min(largest, langs) + 1):
+    for k in range(2, langs + 1):
         open_ = open_[theta[order[k - 1, open_], open_] > 0.5 / n[open_]]
         if not len(open_):
             break
@@ -153,7 +162,6 @@ def mixtures(likelihoods: np.ndarray, of: np.ndarray, rounds: int = ROUNDS, larg
         value = -2 * density + k * penalty[open_]
         better = value < score[open_]
         best[:, open_[better]], score[open_[better]] = fitted[:, better], value[better]
-        open_ = open_[better]
     out[rows] = best.T
     return out
 
