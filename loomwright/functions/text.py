@@ -71,10 +71,11 @@ def content_hash(title: Column, summary: Column) -> Column:
     return F.sha1(F.concat(title, F.lit("\n"), F.coalesce(summary, F.lit(""))))
 
 
-def title_key(title: Column, length: int = 60) -> Column:
-    """Lower-cased, leading bracketed tags and all but letters and digits dropped, cut to ``length``."""
+def title_key(title: Column, length: int | None = 60) -> Column:
+    """Lower-cased, leading bracketed tags and all but letters and digits dropped, cut to ``length`` if any."""
     bare = F.regexp_replace(F.lower(title), r"^( *\[[^\]]*\] *)+", "")
-    return F.substring(F.regexp_replace(bare, r"[^\p{L}\p{N}_]+", ""), 1, length)
+    key = F.regexp_replace(bare, r"[^\p{L}\p{N}_]+", "")
+    return key if length is None else F.substring(key, 1, length)
 
 
 def char_bigrams(key: Column) -> Column:

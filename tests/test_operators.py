@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomwright.functions import text as X
 from loomwright.operators import aggregate, rules, similarity, state, windows
 from loomwright.operators.graph import connected_components
+from loomwright.plans import joins
 
 
 def one(spark, column, value=None):
@@ -83,6 +84,22 @@ def test_ordered_greedy_matches_the_loop(spark, seed):
     assert got == expected
 
 
+def test_titles_are_compared_whole_and_by_script(spark):
+    r = random.Random(4)
+    start = "thesamelongbeginningofalltheselines" * 2
+    rows = [(i, "en" if i % 5 else "ko", start + "".join(r.choice("abcdefghij가나다") for _ in range(r.choice([20, 45, 90, 160])))) for i in range(30)]
+    rows += [(50, "en", "abcdefgh가"), (51, "en", "abcdexyzw나"), (52, "en", "abcdefgh"), (53, "en", "abcdexyz"), (54, "en", "klmno가나다"), (55, "en", "klmn가나라마바")]
+    grams = {k: {t[i : i + 2] for i in range(len(t) - 1)} for k, _, t in rows}
+    want = set()
+    for a, c, t in rows:
+        for b, d, u in rows:
+            both = any("가" <= x <= "힣" for x in t) and any("가" <= x <= "힣" for x in u)
+            if a < b and c == d and 100 * len(grams[a] & grams[b]) >= (33 if both else 40) * len(grams[a] | grams[b]):
+                want.add((a, b))
+    got = {(x.a, x.b) for x in joins.similar_titles(spark.createDataFrame(rows, "doc_id long, category string, title string")).collect()}
+    assert got == want and 20 < len(want) < 300
+
+
 def test_jaccard_pairs_match_brute_force(spark):
     r = random.Random(5)
     sets = {i: sorted({r.randrange(30) for _ in range(r.randrange(1, 20))}) for i in range(60)}
