@@ -73,8 +73,8 @@ def video_chapters(df: DataFrame, key: str, description: str) -> DataFrame:
     return ok.filter("_n >= 3 and _first = 0 and _k <= 15").select(key, "seconds", "label")
 
 
-#: Sentences that a document's graph takes; a longer document is ranked in runs of so many.
-RUN = 400
+#: Up to so many sentences a document's graph is held as a matrix; a longer document's only by the sentences' bigrams.
+DENSE = 400
 
 
 def rank_sentences(parts: list[str], keep: int, rounds: int = 40) -> list[int]:
@@ -83,6 +83,8 @@ def rank_sentences(parts: list[str], keep: int, rounds: int = 40) -> list[int]:
         return list(range(len(parts)))
     names: dict[str, int] = {}
     cells = [(i, names.setdefault(s[j : j + 2], len(names))) for i, s in enumerate(parts) for j in range(len(s) - 1)]
+    if len(parts) > DENSE:
+        return _top(_sparse_scores(len(parts), np.array(cells, np.int64).reshape(-1, 2), rounds), keep)
     m = np.zeros((len(parts), max(1, len(names))), np.float32)
     if cells:
         np.add.at(m, tuple(np.array(cells).T), 1)
@@ -93,22 +95,47 @@ def rank_sentences(parts: list[str], keep: int, rounds: int = 40) -> list[int]:
     score = np.ones(len(parts))
     for _ in range(rounds):
         score = 0.15 + 0.85 * near.T @ score
+    return _top(score, keep)
+
+
+def _top(score: np.ndarray, keep: int) -> list[int]:
     score[0] += 0.3
     return sorted(np.argsort(-score, kind="stable")[:keep].tolist())
 
 
+def _sparse_scores(n: int, cells: np.ndarray, rounds: int) -> np.ndarray:
+    """The same iteration without the matrix of cosines: memory as the number of bigrams."""
+    width = int(cells[:, 1].max(initial=0)) + 1
+    cell, count = np.unique(cells[:, 0] * width + cells[:, 1], return_counts=True)
+    i, j = cell // width, cell % width
+    norm = np.sqrt(np.bincount(i, count.astype(float) ** 2, minlength=n))
+    weight = count / np.maximum(norm, 1e-9)[i]
+    own = np.bincount(i, weight**2, minlength=n)
+
+    def near(x: np.ndarray) -> np.ndarray:
+        return np.bincount(i, weight * np.bincount(j, weight * x[i], minlength=width)[j], minlength=n) - own * x
+
+    degree = np.maximum(near(np.ones(n)), 1e-9)
+    score = np.ones(n)
+    for _ in range(rounds):
+        score = 0.15 + 0.85 * near(score / degree)
+    return score
+
+
 @query()
 def textrank_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three highest-ranked sentences of every document, in their order; documents are independent, so tasks need no shuffle."""
+    return ranked(items(spark, sf_dir))
+
+
+def ranked(documents: DataFrame) -> DataFrame:
+    """The three highest-ranked sentences of every document (doc_id, body), in their order; documents are independent, so tasks need no shuffle."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
             for k, parts in zip(f["doc_id"], f["parts"], strict=True):
                 parts = list(parts) if parts is not None else []
-                while len(parts) > RUN:  # the best of each run go on
-                    parts = [parts[i + j] for i in range(0, len(parts), RUN) for j in rank_sentences(parts[i : i + RUN], 3)]
                 out += [(k, n, parts[i]) for n, i in enumerate(rank_sentences(parts, 3))]
             yield pd.DataFrame(out, columns=["doc_id", "place", "sentence"]).astype({"doc_id": "int64", "place": "int32"})
 
-    return items(spark, sf_dir).select("doc_id", X.sentences(F.col("body")).alias("parts")).mapInPandas(run, "doc_id long, place int, sentence string")
+    return documents.select("doc_id", X.sentences(F.col("body")).alias("parts")).mapInPandas(run, "doc_id long, place int, sentence string")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import random
+from collections import Counter
+
+import numpy as np
+
 from loomwright.plans import terms
 
 
@@ -14,3 +19,26 @@ def test_chapters_rise_from_zero(spark):
 def test_ranking_prefers_what_others_say():
     parts = ["alpha beta gamma delta", "alpha beta gamma", "beta gamma delta", "zzz qqq", "alpha beta gamma delta eps"]
     assert 3 not in terms.rank_sentences(parts, 3) and terms.rank_sentences(["a"], 3) == [0] and terms.rank_sentences([], 3) == []
+
+
+def test_long_documents_are_ranked_whole(spark):
+    """Sentences of 900, of which those like most others stand anywhere; the graph of all of them is built here on its own."""
+    r = random.Random(3)
+    words = ["alpha", "beta", "gamma", "delta", "omega", "zeta", "kappa", "sigma"]
+    parts = [" ".join(r.choice(words[: 2 + i // 150]) for _ in range(r.randrange(3, 9))) + f" {i}." for i in range(900)]
+    sets = [Counter(s[j : j + 2] for j in range(len(s) - 1)) for s in parts]
+    names = {g: k for k, g in enumerate(sorted({g for x in sets for g in x}))}
+    m = np.zeros((len(parts), len(names)))
+    for i, x in enumerate(sets):
+        m[i, [names[g] for g in x]] = list(x.values())
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    near = m @ m.T - np.eye(len(parts))
+    near /= near.sum(1, keepdims=True)
+    score = np.ones(len(parts))
+    for _ in range(40):
+        score = 0.15 + 0.85 * near.T @ score
+    score[0] += 0.3
+    want = [parts[i] for i in sorted(np.argsort(-score)[:3])]
+    got = terms.ranked(spark.createDataFrame([(1, " ".join(parts))], "doc_id long, body string")).orderBy("place").collect()
+    assert [x.sentence for x in got] == want
+    assert terms.rank_sentences(["x"] * 500, 3) == [0, 1, 2]
