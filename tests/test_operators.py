@@ -100,6 +100,13 @@ def test_titles_are_compared_whole_and_by_script(spark):
     assert got == want and 20 < len(want) < 300
 
 
+def test_a_share_of_the_smaller_set_finds_frequent_tokens_of_the_larger(spark):
+    large, common = [f"r{i}" for i in range(91)], [f"c{i}" for i in range(9)]
+    rows = [(1, large + common), (2, [*common, "own"]), *[(k, [f"f{k}", *common]) for k in range(3, 8)]]
+    got = {(x.a, x.b) for x in similarity.overlap_pairs(spark.createDataFrame(rows, "k long, t array<string>"), "k", "t", percent=85).filter("shared * 100 >= 85 * least(n_a, n_b)").collect()}
+    assert got == {(a, b) for a in range(1, 8) for b in range(a + 1, 8)}
+
+
 def test_jaccard_pairs_match_brute_force(spark):
     r = random.Random(5)
     sets = {i: sorted({r.randrange(30) for _ in range(r.randrange(1, 20))}) for i in range(60)}
