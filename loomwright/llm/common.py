@@ -13,13 +13,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..storage import shared_dir, staged, table
 
 __all__ = ["shared_dir", "staged", "table"]
 
 #: Bytes of text that are hashed at once.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 
 # --------------------------------------------------------------------------- Arrow batches
@@ -27,28 +28,40 @@ SLICE_BYTES = 1 << 21
 BATCH_ROWS = 1000
 
 
+#: Bytes of an Arrow batch, for Spark versions that bound them.
+BATCH_BYTES = 4 << 20
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's Arrow batch size to :data:`BATCH_ROWS` if it is larger."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, BATCH_ROWS)
+    """Lowers the session's Arrow batch size to :data:`BATCH_ROWS` and :data:`BATCH_BYTES` if it is larger."""
+    for key, most, unit in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS, ""), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES, "b")):
+        now = spark.conf.get(key).removesuffix(unit)
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, f"{most}{unit}")
+
 
+#: Caches that a Python worker keeps between tasks of one operator, by name; tasks that don't keep one empty it.
+CACHES: dict[str, dict] = {}
 
-#: Caches that a Python worker keeps between tasks of one operator; other operators' tasks empty them.
-CACHES: list[dict] = []
+Run = Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | None]
 
 
-def over_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | None]], schema: str) -> DataFrame:
-    """``df.mapInArrow`` with one function made per task."""
+def over_batches(df: DataFrame, make: Callable[[], Run | tuple[Run, Callable[[], Iterator[pa.RecordBatch]]]], schema: str, *, keep: str | None = None) -> DataFrame:
+    """``df.mapInArrow`` with one function made per task, or two: for each batch, and for the end."""
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cache in CACHES:
-            cache.clear()
-        work = make()
+        for name, cache in CACHES.items():
+            if name != keep:
+                cache.clear()
+        pa.default_memory_pool().release_unused()
+        made = make()
+        work, end = made if isinstance(made, tuple) else (made, None)
         for batch in batches:
             if batch.num_rows:
                 yield from work(batch) or ()
+        if end:
+            yield from end()
 
     return df.mapInArrow(run, schema)
 
@@ -71,9 +84,9 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Runs of rows of about ``limit`` bytes of text (one row at least), with their bytes and offsets."""
-    raw, at = utf8(batch.column(batch.schema.get_field_index(text)))
+def slices(batch: pa.RecordBatch, text: str | int = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Runs of rows of about ``limit`` bytes in the column ``text`` (one row at least), with their bytes and offsets."""
+    raw, at = utf8(batch.column(text if isinstance(text, int) else batch.schema.get_field_index(text)))
     start, rows = 0, batch.num_rows
     while start < rows:
         end = int(np.searchsorted(at, at[start] + limit, side="left"))
@@ -82,6 +95,11 @@ def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES)
         start = end
 
 
+def texts(documents: DataFrame) -> DataFrame:
+    """doc_id as long, and text."""
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
 # --------------------------------------------------------------------------- hashing
 _U = np.uint64
 _BASE = pow(0x9E3779B97F4A7C15, 3, 1 << 64) | 1
@@ -91,7 +109,7 @@ _BASE_INV = pow(_BASE, -1, 1 << 64)
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x ^ (x >> _U(30))
-    x = x * _U(0xBF58476D1CE4E5B9)
+    x *= _U(0xBF58476D1CE4E5B9)
     x ^= x >> _U(27)
     x *= _U(0x94D049BB133111EB)
     x ^= x >> _U(31)
@@ -125,6 +143,17 @@ def range_hashes(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
     return mix((total[end] - total[start]) * powers(_BASE_INV, len(codes) + 1)[start] + (end - start).astype(np.uint64))
 
 
+def sliding_hashes(codes: np.ndarray, n: int) -> np.ndarray:
+    """:func:`range_hashes` of every ``n`` consecutive codes."""
+    total = np.empty(len(codes) + 1, np.uint64)
+    total[0] = 0
+    np.cumsum(codes * powers(_BASE, len(codes)), out=total[1:])
+    found = total[n:] - total[:-n]
+    found *= powers(_BASE_INV, len(found))
+    found += np.uint64(n)
+    return mix(found)
+
+
 def byte_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return range_hashes(_BYTE_CODES[raw], start, end)
 

@@ -13,13 +13,22 @@ def _at(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 def put(uri: str, data: bytes) -> None:
-    """Write under a name of its own, then rename: a retried or speculative task leaves one whole file."""
+    """Write under a name of its own, then rename: a retried or speculative task leaves one whole file.
+
+    Stores that don't rename over a file lose the one of the earlier attempt, which has the same bytes, first.
+    """
     store, path = _at(uri)
     store.create_dir(path.rpartition("/")[0], recursive=True)
     temporary = f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}"
     with store.open_output_stream(temporary, compression=None) as out:
         out.write(data)
-    store.move(temporary, path)
+    try:
+        store.move(temporary, path)
+    except OSError:
+        if store.get_file_info(path).type == fs.FileType.NotFound:
+            raise
+        store.delete_file(path)
+        store.move(temporary, path)
 
 
 def get(uri: str) -> bytes:
