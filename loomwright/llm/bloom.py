@@ -1,7 +1,7 @@
-"""A Bloom filter of fixed size over 64-bit keys, built by Spark and broadcast.
+"""A Bloom filter over 64-bit keys, built by Spark and broadcast.
 
-It only spares shuffles: whoever asks it handles false positives exactly, so its size bounds what is broadcast
-and never changes a result.
+It grows with the number of keys up to :data:`MOST_BITS`, which bounds what is broadcast; beyond, more keys pass that are not in it.
+It only spares shuffles: whoever asks it handles false positives exactly, so its size never changes a result.
 """
 
 from __future__ import annotations
@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from . import common
 
 _U = np.uint64
+#: Bits for each key, and bounds of the size of a filter (32 MB at most).
+BITS_PER_KEY = 16
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 28
 
 
 def _places(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -24,8 +27,14 @@ def _places(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return mixed & _U(bits - 1), (mixed >> _U(32)) & _U(bits - 1)
 
 
-def build(keys: DataFrame, bits: int) -> Broadcast:
-    """A filter of ``bits`` (a power of two, 2 ** 32 at most) bits of the one long column of ``keys``: words of bits are set by tasks and united by Spark."""
+def build(keys: DataFrame, bits: int | None = None) -> Broadcast:
+    """A filter of the one long column of ``keys``: words of bits are set by tasks and united by Spark.
+
+    Its size follows the number of keys, or is ``bits`` (a power of two, 2 ** 32 at most).
+    """
+    if bits is None:
+        keys = common.staged(keys)
+        bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_PER_KEY * keys.count()).bit_length()))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

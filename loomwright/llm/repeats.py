@@ -5,13 +5,19 @@ consecutive symbols each), so equal windows have equal anchors.  Consecutive win
 ``CAP`` times as many windows as a window has seeds at most.  Two equal windows lie in stretches of one anchor, so
 stretches are dealt by anchor and nothing else must meet.  (Text that repeats with a short period makes few, long stretches.)
 
-1. Anchors alone are counted by Spark; a Bloom filter of fixed size over those that repeat is broadcast.
-2. Stretches whose anchor is in it are written with their text, and reduced to distinct ones per anchor: first occurrence
-   (smallest doc_id, then start) and number of occurrences.  Copies of a passage thus meet as one row.
-3. The distinct stretches of an anchor form a group, whose windows are compared by the caller's method.  An anchor
-   with more than ``group_limit`` distinct stretches is dealt anew by whole windows and counted by Spark, so no task holds a
-   hot anchor.
-4. Decisions are joined back to all occurrences and collected per document.
+1. Anchors alone are counted by Spark; a Bloom filter over those that repeat is broadcast.
+2. Stretches whose anchor is in it are written as hashes and places, without text, and reduced to distinct ones per
+   anchor: first occurrence (smallest doc_id, then start) and number of occurrences.  Copies of a passage thus meet as one row.
+3. The distinct stretches of an anchor form a group.  Only those of groups of two or more (or that may repeat within) are cut
+   out of their texts, once each, and their windows are compared by the caller's method.
+4. A group of more than ``group_limit`` stretches is dealt again before it is compared: its stretches are split by where the
+   anchor lies in the window, and meet by all the symbols that the windows of a part have in common.  Equal windows have
+   the anchor at one place and so stay together.  Parts of equal content are one row again, and what is still too large is dealt
+   by the exact place, where equal parts are single windows: no task holds a hot anchor, and all go through one method.
+5. Decisions are joined back to all occurrences and collected per document.
+
+Filters only spare work: they grow with their keys up to a bound, and what passes beyond it costs time, not results.
+Rows without doc_id are no documents here: they keep their text, and what they hold is no other place.
 """
 
 from __future__ import annotations
@@ -29,8 +35,8 @@ from . import bloom, common
 _U = np.uint64
 #: Longest stretch, in windows, as a multiple of the seeds of a window.
 CAP = 4
-ANCHOR_FILTER_BITS = 1 << 27
-DOC_FILTER_BITS = 1 << 24
+#: Parts that a group above the limit is dealt into by the place of the anchor, before single places.
+PARTS = 8
 
 
 @dataclass(frozen=True)
@@ -48,42 +54,51 @@ def stretches(codes: np.ndarray, of: np.ndarray, window: int, seed: int) -> tupl
     none = np.zeros(0, np.int64)
     if n < window:
         return none, none, none, none.view(_U), none.view(_U)
-    places = np.arange(n - seed + 1)
-    hashes = least = common.range_hashes(codes, places, places + seed)
-    span = 1
-    while span * 2 <= w:
-        least = np.minimum(least[:-span], least[span:])
-        span *= 2
-    rest = w - span
-    if rest:
-        least = np.minimum(least[:-rest], least[rest:])
-    row = common.rows_of(of)[: len(least)]  # least: the anchor of the window at each place
-    valid = np.arange(len(least)) + window <= of[row + 1]
-    differs = ~valid[:-1] | (least[1:] != least[:-1])  # two rows are never neighbours: a row's last places begin no window
+    hashes = common.sliding_hashes(codes, seed)
+    least = sliding(np.minimum, hashes, w)  # the anchor of the window at each place
+    begins = np.zeros(n + 1, np.int8)
+    size = np.diff(of)
+    full = size >= window
+    begins[of[:-1][full]] += 1
+    begins[of[1:][full] - window + 1] -= 1
+    valid = np.cumsum(begins[: len(least)], dtype=np.int8).view(bool)
+    differs = least[1:] != least[:-1]  # two rows are never neighbours: a row's last places begin no window
     first, last = valid.copy(), valid.copy()
-    first[1:] &= differs
-    last[:-1] &= ~valid[1:] | (least[1:] != least[:-1])
+    first[1:] &= ~valid[:-1] | differs
+    last[:-1] &= ~valid[1:] | differs
     start = np.flatnonzero(first)
     length = np.flatnonzero(last) + 1 - start
     pieces = -(-length // (CAP * w))
     k = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     begin = np.repeat(start, pieces) + k * (CAP * w)
-    return row[begin], begin, np.minimum(np.repeat(start + length, pieces) - begin, CAP * w), least[begin], hashes
+    return np.searchsorted(of, begin, side="right") - 1, begin, np.minimum(np.repeat(start + length, pieces) - begin, CAP * w), least[begin], hashes
+
+
+def sliding(least_of: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
+    """``least_of`` (minimum or maximum) of every ``width`` consecutive values."""
+    span = 1
+    while span * 2 <= width:
+        x = least_of(x[:-span], x[span:])
+        span *= 2
+    return least_of(x[: len(x) - (width - span)], x[width - span :]) if width > span else x
 
 
 def inner_repeats(hashes: np.ndarray, begin: np.ndarray, n: np.ndarray, anchor: np.ndarray, seeds: int) -> np.ndarray:
     """Whether a stretch's anchor occurs in it more than once: only then can it hold one window twice."""
-    out = np.zeros(len(begin), bool)
-    for i in range(0, len(begin), 1 << 13):
-        size = n[i : i + (1 << 13)] + seeds - 1
-        at = np.cumsum(size) - size
-        place = np.arange(int(size.sum())) + np.repeat(begin[i : i + (1 << 13)] - at, size)
-        same = hashes[place] == np.repeat(anchor[i : i + (1 << 13)], size)
-        out[i : i + (1 << 13)] = np.add.reduceat(same.astype(np.int32), at) > 1
-    return out
+    if not len(begin):
+        return np.zeros(0, bool)
+    # a seed that is the smallest of no window is no anchor; the others are few
+    least = sliding(np.minimum, hashes, seeds)
+    ends = np.zeros(seeds - 1, np.uint64)
+    places = np.flatnonzero(hashes == sliding(np.maximum, np.concatenate([ends, least, ends]), seeds))
+    lo, hi = np.searchsorted(places, begin), np.searchsorted(places, begin + n + seeds - 1)
+    row = np.repeat(np.arange(len(begin)), hi - lo)
+    at = np.arange(len(row)) + np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), hi - lo)
+    return np.bincount(row[hashes[places[at]] == anchor[row]], minlength=len(begin)) > 1
 
 
-OCCURRENCE = "anchor long, stretch long, doc_id long, start int, n int, inner boolean, content binary"
+FOUND = "anchor long, stretch long, doc_id long, start int, n int, inner boolean"
+CONTENT = f"{FOUND}, content binary"
 
 
 def repeated_anchors(documents: DataFrame, symbols: Symbols) -> DataFrame:
@@ -102,42 +117,53 @@ def repeated_anchors(documents: DataFrame, symbols: Symbols) -> DataFrame:
     return common.over_batches(documents.select("text"), work, "anchor long").groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("anchor")
 
 
-def occurrences(documents: DataFrame, symbols: Symbols) -> DataFrame:
-    """:data:`OCCURRENCE`: the stretches whose anchor may repeat; ``start`` counts symbols in the document."""
-    held = bloom.build(repeated_anchors(documents, symbols), ANCHOR_FILTER_BITS)
+def place_keys(anchor: np.ndarray, stretch: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each stretch at its place."""
+    return common.mix(anchor.view(_U) * _U(3) + stretch.view(_U)) + common.mix(doc.view(_U) + common.mix(start.astype(_U)))
+
+
+def cut_out(documents: DataFrame, symbols: Symbols, keep: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None, anchors: Callable[[np.ndarray], np.ndarray], *, content: bool) -> DataFrame:
+    """:data:`FOUND` or :data:`CONTENT`: the stretches whose anchor passes ``anchors`` and whose anchor, hash, doc_id and start pass ``keep``; ``start`` counts symbols in the document."""
+    schema = CONTENT if content else FOUND
 
     def work() -> object:
         def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for some, raw, at in common.slices(batch):
                 codes, of, begin, end = symbols.cut(raw, at)
                 row, start, n, anchor, hashes = stretches(codes, of, symbols.window, symbols.seed)
-                keep = bloom.contains(held.value, anchor)
-                row, start, n, anchor = row[keep], start[keep], n[keep], anchor[keep]
+                chosen = anchors(anchor)
+                row, start, n, anchor = row[chosen], start[chosen], n[chosen], anchor[chosen]
+                last = start + n + symbols.window - 1  # the symbol behind the stretch
+                stretch, doc = common.range_hashes(codes, start, last), some.column("doc_id").to_numpy()[row]
+                if keep is not None:
+                    chosen = keep(anchor, stretch, doc, start - of[row])
+                    row, start, n, anchor, last, stretch, doc = (x[chosen] for x in (row, start, n, anchor, last, stretch, doc))
                 if not len(row):
                     continue
                 inner = inner_repeats(hashes, start, n, anchor, symbols.window - symbols.seed + 1)
-                last = start + n + symbols.window - 1  # the symbol behind the stretch
-                a, b, data = begin[start].tolist(), end[last - 1].tolist(), raw.tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [common.signed(anchor), common.signed(common.range_hashes(codes, start, last)), some.column("doc_id").take(pa.array(row)), pa.array((start - of[row]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(inner), pa.array([data[i:j] for i, j in zip(a, b, strict=True)], pa.binary())],
-                    names=[x.split()[0] for x in OCCURRENCE.split(", ")],
-                )
+                columns = [common.signed(anchor), common.signed(stretch), pa.array(doc), pa.array((start - of[row]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(inner)]
+                if content:
+                    data = raw.tobytes()
+                    columns.append(pa.array([data[i:j] for i, j in zip(begin[start].tolist(), end[last - 1].tolist(), strict=True)], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in schema.split(", ")])
 
         return run
 
-    return common.staged(common.over_batches(documents.select("doc_id", "text"), work, OCCURRENCE))
+    return common.over_batches(documents, work, schema)
 
 
-DISTINCT = "anchor long, stretch long, doc_id long, start int, n int, inner boolean, times long, content binary"
-MARKED = "anchor long, stretch long, doc_id long, start int, times long, ranges array<struct<lo: int, hi: int>>"
+def occurrences(documents: DataFrame, symbols: Symbols) -> DataFrame:
+    """:data:`FOUND`: the stretches whose anchor may repeat."""
+    held = bloom.build(repeated_anchors(documents, symbols))
+    return common.staged(cut_out(documents, symbols, None, lambda anchor: bloom.contains(held.value, anchor), content=False))
 
 
 def distinct_stretches(found: DataFrame) -> DataFrame:
-    """:data:`DISTINCT`: one row per anchor and content, with its first occurrence and the number of all."""
+    """anchor, stretch, doc_id, start, n, inner, times: one row per anchor and content, with its first occurrence and the number of all."""
     return common.staged(
         found.groupBy("anchor", "stretch")
-        .agg(F.min(F.struct("doc_id", "start")).alias("first"), F.first("n").alias("n"), F.first("inner").alias("inner"), F.count(F.lit(1)).alias("times"), F.first("content").alias("content"))
-        .select("anchor", "stretch", F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("start"), "n", "inner", "times", "content")
+        .agg(F.min(F.struct("doc_id", "start")).alias("first"), F.first("n").alias("n"), F.first("inner").alias("inner"), F.count(F.lit(1)).alias("times"))
+        .select("anchor", "stretch", F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("start"), "n", "inner", "times")
     )
 
 
@@ -149,40 +175,27 @@ def ranges_of(places: np.ndarray) -> list[dict[str, int]]:
     return [{"lo": int(i), "hi": int(j) + 1} for i, j in zip(places[np.concatenate([[0], cut + 1])], places[np.concatenate([cut, [len(places) - 1]])], strict=True)]
 
 
-def marked_stretches(distinct: DataFrame, symbols: Symbols, compare: Callable[[pa.Table], list[list[dict[str, int]]]], *, group_limit: int, any_other: bool) -> DataFrame:
-    """:data:`MARKED`: which windows of each distinct stretch repeat another window (an earlier one, unless ``any_other``).
-
-    ``compare`` gets rows of whole groups, sorted by anchor, and returns window ranges for each row.
-    """
-    sizes = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.bool_or("inner").alias("inner")).filter("m > 1 or inner")
-    sizes = common.staged(sizes.select("anchor", (F.col("m") > group_limit).alias("hot")))
-    held = bloom.build(sizes.filter("not hot").select("anchor"), ANCHOR_FILTER_BITS)
-
-    def to_compare() -> object:
-        def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            yield batch.filter(pa.array(bloom.contains(held.value, batch.column("anchor").to_numpy())))
+Compare = Callable[[pa.Table], list[list[dict[str, int]]]]
+MARKED = "anchor long, stretch long, ranges array<struct<lo: int, hi: int>>"
 
-        return run
 
-    hot_anchors = sizes.filter("hot").select("anchor")
-    small = common.over_batches(distinct, to_compare, DISTINCT)
-    has_hot = bool(hot_anchors.limit(1).count())
-    if has_hot:
-        small = small.join(hot_anchors, "anchor", "left_anti")
-    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    names = ["anchor", "stretch", "doc_id", "start", "times", "ranges"]
+def in_groups(rows: DataFrame, compare: Compare) -> DataFrame:
+    """:data:`MARKED`: what ``compare`` makes of whole groups, for the rows of :data:`CONTENT` that have ranges."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
 
-    def in_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            if table.num_rows:
-                marks = compare(table)
-                for i in range(0, table.num_rows, 10_000):
-                    some = table.slice(i, 10_000).combine_chunks().to_batches()[0]
-                    yield pa.RecordBatch.from_arrays([*(some.column(c) for c in names[:-1]), pa.array(marks[i : i + 10_000], kind)], names=names)
+            anchor, stretch = table.column("anchor").to_numpy(), table.column("stretch").to_numpy()
+            first = np.ones(len(anchor), bool)  # of a stretch that passed a filter at several places, the earliest stays
+            first[1:] = (anchor[1:] != anchor[:-1]) | (stretch[1:] != stretch[:-1])
+            table = table.filter(pa.array(first)).combine_chunks()
+            marks = compare(table)
+            has = [bool(x) for x in marks]
+            if any(has):
+                yield pa.RecordBatch.from_arrays([*(pa.array(table.column(c).to_numpy()[has]) for c in ("anchor", "stretch")), pa.array([x for x in marks if x], kind)], names=["anchor", "stretch", "ranges"])
 
+        held: list[pa.RecordBatch] = []
         rows = size = 0
         for batch in batches:
             held.append(batch)
@@ -191,51 +204,134 @@ def marked_stretches(distinct: DataFrame, symbols: Symbols, compare: Callable[[p
                 table = pa.Table.from_batches(held)
                 anchors = table.column("anchor").to_numpy()
                 whole = int(np.searchsorted(anchors, anchors[-1]))  # the last group may go on
-                yield from done(table.slice(0, whole))
+                if whole:
+                    yield from done(table.slice(0, whole))
                 held = table.slice(whole).to_batches()
                 rows, size = table.num_rows - whole, 0
-        if held:
+        if rows:
             yield from done(pa.Table.from_batches(held))
 
-    grouped = small.repartition(n, "anchor").sortWithinPartitions("anchor", "stretch").mapInArrow(in_groups, MARKED)
-    if not has_hot:
-        return common.staged(grouped)
+    return rows.repartition(n, "anchor").sortWithinPartitions("anchor", "stretch", "doc_id", "start").mapInArrow(run, MARKED)
 
-    def windows() -> object:
+
+PART = f"above long, whole long, lo int, root long, {CONTENT}"
+
+
+def parts_of(rows: DataFrame, symbols: Symbols, places: int) -> DataFrame:
+    """:data:`PART`: stretches split by the place of the anchor ``root`` in their windows, ``places`` neighbouring ones to a part.
+
+    ``above`` and ``whole`` are the anchor and the hash of the stretch, ``lo`` the first window of the part in it; the new anchor is what all windows
+    with the anchor at these places have in common.
+    """
+    window, seed = symbols.window, symbols.seed
+
+    def work() -> object:
         def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for some, raw, at in common.slices(batch, "content", 1 << 18):
-                codes, of, _, _ = symbols.cut(raw, at)
-                each = np.diff(of) - symbols.window + 1
+                codes, of, begin, end = symbols.cut(raw, at)
+                root = some.column("root").to_numpy().view(_U)
+                seeds = np.arange(len(codes) - seed + 1)
+                row = common.rows_of(of)[: len(seeds)]
+                hits = np.flatnonzero((common.sliding_hashes(codes, seed) == root[row]) & (seeds + seed <= of[row + 1]))
+                each = np.diff(of) - window + 1
                 row = np.repeat(np.arange(some.num_rows), each)
                 offset = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
                 start = of[row] + offset
-                take = pa.array(row)
+                anchor_at = hits[np.searchsorted(hits, start)]
+                part = (anchor_at - start) // places
+                new = np.ones(len(row), bool)
+                new[1:] = (row[1:] != row[:-1]) | (anchor_at[1:] != anchor_at[:-1]) | (part[1:] != part[:-1])
+                first = np.flatnonzero(new)
+                n = np.diff(np.append(first, len(row)))
+                row, offset, start, anchor_at, part = row[first], offset[first], start[first], anchor_at[first], part[first]
+                nearest = part * places
+                farthest = np.minimum(nearest + places, window - seed + 1) - 1
+                shared = common.mix(common.range_hashes(codes, anchor_at - nearest, anchor_at - farthest + window) + part.astype(_U))
+                last = start + n + window - 1
+                data, take = raw.tobytes(), pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [common.signed(common.range_hashes(codes, start, start + symbols.window)), common.signed(common.range_hashes(common.mix(codes), start, start + symbols.window)), pa.array(offset.astype(np.int32)), *(some.column(c).take(take) for c in ("anchor", "stretch", "doc_id", "start", "times"))],
-                    names=["h1", "h2", "offset", "anchor", "stretch", "doc_id", "start", "times"],
+                    [
+                        some.column("anchor").take(take),
+                        some.column("stretch").take(take),
+                        pa.array(offset.astype(np.int32)),
+                        some.column("root").take(take),
+                        common.signed(shared),
+                        common.signed(common.range_hashes(codes, start, last)),
+                        some.column("doc_id").take(take),
+                        pa.array((some.column("start").to_numpy()[row] + offset).astype(np.int32)),
+                        pa.array(n.astype(np.int32)),
+                        pa.array(np.zeros(len(row), bool)),  # the windows of a part have the anchor at different places
+                        pa.array([data[i:j] for i, j in zip(begin[start].tolist(), end[last - 1].tolist(), strict=True)], pa.binary()),
+                    ],
+                    names=[x.split()[0] for x in PART.split(", ")],
                 )
 
         return run
 
-    hot = common.over_batches(distinct.join(hot_anchors, "anchor", "left_semi"), windows, "h1 long, h2 long, offset int, anchor long, stretch long, doc_id long, start int, times long")
-    at_ = F.struct("doc_id", (F.col("start") + F.col("offset")).alias("at"))
-    hot = common.staged(hot)
-    classes = hot.groupBy("h1", "h2").agg(F.min(at_).alias("first"), F.sum("times").alias("all"))
-    repeats = F.col("all") > 1 if any_other else F.col("first") != at_
-    hot = hot.join(classes.filter("all > 1"), ["h1", "h2"]).filter(repeats)
-    hot = hot.groupBy("anchor", "stretch", "doc_id", "start", "times").agg(F.transform(F.sort_array(F.collect_set("offset")), lambda o: F.struct(o.alias("lo"), (o + 1).alias("hi"))).alias("ranges"))
-    return common.staged(grouped.unionByName(hot))
+    return common.over_batches(rows, work, PART)
 
 
-def repeated_spans(found: DataFrame, distinct: DataFrame, marked: DataFrame, window: int, *, any_other: bool) -> DataFrame:
-    """doc_id and spans (symbols covered by repeated windows, as sorted start and end, which may overlap) of the documents that have some."""
-    decided = distinct.select("anchor", "stretch", "doc_id", "start", "times").join(marked.select("anchor", "stretch", "ranges"), ["anchor", "stretch"], "left").filter("times > 1 or size(ranges) > 0")
+def spread(found: DataFrame, distinct: DataFrame, marked: DataFrame, *, any_other: bool) -> DataFrame:
+    """``found`` with r (lo, hi), a row per range of repeated windows: those of ``marked``, and all of a stretch that is (also) elsewhere."""
+    decided = distinct.select("anchor", "stretch", "doc_id", "start", "times").join(marked, ["anchor", "stretch"], "left").filter("times > 1 or size(ranges) > 0")
     # as a table of its own, so that the next join has plain exchanges on both sides and Spark can split a hot stretch
     decided = common.staged(decided.select("anchor", "stretch", F.col("doc_id").alias("first_doc"), F.col("start").alias("first_start"), "times", "ranges"))
-    each = found.select("anchor", "stretch", "doc_id", "start", "n").join(decided, ["anchor", "stretch"])
+    each = found.join(decided, ["anchor", "stretch"])
     whole = F.array(F.struct(F.lit(0).alias("lo"), F.col("n").alias("hi")))
-    all_of_it = F.col("times") > 1 if any_other else ~(F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("start") == F.col("first_start")))
-    spans = each.select("doc_id", "start", F.explode(F.when(all_of_it, whole).otherwise(F.col("ranges"))).alias("r")).select("doc_id", (F.col("start") + F.col("r.lo")).alias("lo"), (F.col("start") + F.col("r.hi") + window - 1).alias("hi"))
+    all_of_it = F.col("times") > 1 if any_other else (F.col("doc_id") != F.col("first_doc")) | (F.col("start") != F.col("first_start"))
+    return each.withColumn("r", F.explode(F.when(all_of_it, whole).otherwise(F.col("ranges")))).drop("first_doc", "first_start", "times", "ranges")
+
+
+def decided_groups(rows: DataFrame, hot: DataFrame, symbols: Symbols, compare: Compare, *, group_limit: int, any_other: bool, places: int) -> DataFrame:
+    """:data:`MARKED` for ``rows`` (:data:`CONTENT` and root); groups whose anchor is in ``hot`` are dealt again, by ``places`` neighbouring places of their root."""
+    if not hot.limit(1).count():
+        return common.staged(in_groups(rows.drop("root"), compare))
+    small = in_groups(rows.join(hot, "anchor", "left_anti").drop("root"), compare)
+    large = rows.join(hot, "anchor", "left_semi").groupBy("anchor", "stretch").agg(F.min(F.struct("doc_id", "start")).alias("first"), *(F.first(c).alias(c) for c in ("n", "inner", "content", "root")))
+    large = large.select("anchor", "stretch", "first.*", "n", "inner", "content", "root")
+    found = common.staged(parts_of(large, symbols, places))
+    distinct = found.groupBy("anchor", "stretch").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("times"), *(F.first(c).alias(c) for c in ("n", "inner", "content", "root")))
+    distinct = common.staged(distinct.select("anchor", "stretch", "first.*", "n", "inner", "content", "root", "times"))
+    sizes = common.staged(group_sizes(distinct))
+    marked = decided_groups(distinct.join(sizes, "anchor", "left_semi").drop("times"), sizes.filter(F.col("m") > group_limit).select("anchor"), symbols, compare, group_limit=group_limit, any_other=any_other, places=1)
+    ranges = spread(found.drop("content", "root"), distinct, marked, any_other=any_other)
+    ranges = ranges.groupBy(F.col("above").alias("anchor"), F.col("whole").alias("stretch")).agg(F.collect_list(F.struct((F.col("lo") + F.col("r.lo")).alias("lo"), (F.col("lo") + F.col("r.hi")).alias("hi"))).alias("ranges"))
+    return common.staged(small.unionByName(ranges))
+
+
+def group_sizes(distinct: DataFrame) -> DataFrame:
+    """anchor and m, the number of stretches, of the groups in which a window can repeat."""
+    return distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.bool_or("inner").alias("inner")).filter("m > 1 or inner").select("anchor", "m")
+
+
+def marked_stretches(documents: DataFrame, distinct: DataFrame, symbols: Symbols, compare: Compare, *, group_limit: int, any_other: bool) -> DataFrame:
+    """:data:`MARKED`: which windows of each distinct stretch repeat another window (an earlier one, unless ``any_other``).
+
+    ``compare`` gets rows of whole groups, sorted by anchor, and returns window ranges for each row.
+    """
+    sizes = common.staged(group_sizes(distinct))
+    groups = bloom.build(sizes.select("anchor"))
+    wanted = distinct.join(sizes, "anchor", "left_semi")
+    keys = common.over_batches(
+        wanted.select("anchor", "stretch", "doc_id", "start"),
+        lambda: lambda b: iter([pa.RecordBatch.from_arrays([common.signed(place_keys(*(b.column(c).to_numpy() for c in ("anchor", "stretch", "doc_id", "start"))))], names=["key"])]),
+        "key long",
+    )
+    held = bloom.build(keys)
+    rows = cut_out(documents, symbols, lambda *x: bloom.contains(held.value, place_keys(*x)), lambda anchor: bloom.contains(groups.value, anchor), content=True)
+    rows = common.staged(rows).withColumn("root", F.col("anchor"))
+    places = -(-(symbols.window - symbols.seed + 1) // PARTS)
+    return decided_groups(rows, sizes.filter(F.col("m") > group_limit).select("anchor"), symbols, compare, group_limit=group_limit, any_other=any_other, places=places)
+
+
+def repeated_spans(documents: DataFrame, symbols: Symbols, compare: Compare, *, group_limit: int, any_other: bool) -> DataFrame:
+    """doc_id and spans (symbols covered by repeated windows, as sorted start and end, which may overlap) of the documents that have some."""
+    known = common.texts(documents).filter("doc_id is not null")
+    found = occurrences(known, symbols)
+    distinct = distinct_stretches(found)
+    marked = marked_stretches(known, distinct, symbols, compare, group_limit=group_limit, any_other=any_other)
+    each = spread(found.drop("inner"), distinct, marked, any_other=any_other)
+    spans = each.select("doc_id", (F.col("start") + F.col("r.lo")).alias("lo"), (F.col("start") + F.col("r.hi") + symbols.window - 1).alias("hi"))
     return common.staged(spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans")))
 
 
@@ -244,7 +340,7 @@ def with_spans(documents: DataFrame, spans: DataFrame, digest: Callable[[bytes,
 
     Only texts that may have spans are shuffled.
     """
-    held = bloom.build(spans.select("doc_id").filter("doc_id is not null"), DOC_FILTER_BITS)
+    held = bloom.build(spans.select("doc_id"))
     kinds = [f.strip().split()[1] for f in schema.split(",")]
     arrow = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
     names = [f.strip().split()[0] for f in schema.split(",")]
@@ -280,6 +376,6 @@ def with_spans(documents: DataFrame, spans: DataFrame, digest: Callable[[bytes,
 
         return run
 
-    split = common.staged(common.over_batches(documents.select("doc_id", "text"), first, f"{schema}, text binary"))
+    split = common.staged(common.over_batches(common.texts(documents), first, f"{schema}, text binary"))
     rest = split.filter("text is not null").select("doc_id", "text").join(spans, "doc_id", "left")
     return split.filter("text is null").drop("text").unionByName(common.over_batches(rest, second, schema))
