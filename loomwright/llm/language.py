@@ -76,7 +76,7 @@ def fit(labelled: DataFrame, *, bits: int = BUCKET_BITS) -> Model:
     Counts are summed in tasks first; a row per language and bucket reaches the driver: ``2 ** bits`` for each language at most.
     """
     common.small_batches(labelled.sparkSession)
-    known = labelled.select("lang", "text").filter("lang is not null and text is not null")
+    known = labelled.select(F.col("lang").cast("string").alias("lang"), "text").filter("lang is not null and text is not null")
     names = sorted(r["lang"] for r in known.select("lang").distinct().collect())
     if not names:
         return Model([], np.zeros((0, 1 << bits), np.float32))
@@ -166,32 +166,33 @@ def mixtures(likelihoods: np.ndarray, of: np.ndarray, rounds: int = ROUNDS) -> n
     return out
 
 
-def predict(documents: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` with lang_pred, score and languages (the chosen set with shares above 0, as a map)."""
-    spark = documents.sparkSession
-    held = spark.sparkContext.broadcast(model)
-    kept = documents.select(*keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", lang_pred string, score double, languages map<string, double>"
+def shares_of(model: Model, batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Some rows of ``batch`` at a time, with the shares of all languages, and whether a language can be told from the text in ``column``."""
+    limit = min(common.SLICE_BYTES, (common.SLICE_BYTES << 3) // max(1, len(model.languages)))
+    for some, raw, at in common.slices(batch, column, limit):
+        letters = pc.fill_null(pc.match_substring_regex(some.column(column), r"\p{L}"), False).to_numpy(zero_copy_only=False)
+        shares = mixtures(*word_likelihoods(model, raw, at)) if model.languages else np.zeros((some.num_rows, 1))
+        yield some, shares, letters & (shares.sum(1) > 0)
+
+
+def predict(documents: DataFrame, model: Model) -> DataFrame:
+    """doc_id, lang_pred, score and languages (the chosen set with shares above 0, as a map) for every row of ``documents``."""
+    held = documents.sparkSession.sparkContext.broadcast(model)
 
     def work() -> object:
         m = held.value
-        limit = min(common.SLICE_BYTES, (common.SLICE_BYTES << 3) // max(1, len(m.languages)))
 
         def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            for some, raw, at in common.slices(batch, "_text", limit):
-                n = some.num_rows
-                letters = pc.fill_null(pc.match_substring_regex(some.column("_text"), r"\p{L}"), False).to_numpy(zero_copy_only=False)
-                shares = mixtures(*word_likelihoods(m, raw, at)) if m.languages else np.zeros((n, 1))
-                ok = letters & (shares.sum(1) > 0)
+            for some, shares, ok in shares_of(m, batch, 1):
                 best = shares.argmax(1)
                 lang = [m.languages[k] if y else UNKNOWN for k, y in zip(best, ok, strict=True)]
                 score = np.where(ok, np.clip(shares.max(1), 0, 1), 0.0)
                 sets = [[(m.languages[k], float(x[k])) for k in np.flatnonzero(x > 0)] if y else [] for x, y in zip(shares, ok, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score), pa.array(sets, pa.map_(pa.string(), pa.float64()))], names=[*keep, "lang_pred", "score", "languages"])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(sets, pa.map_(pa.string(), pa.float64()))], names=["doc_id", "lang_pred", "score", "languages"])
 
         return run
 
-    return common.over_batches(documents.select(*keep, F.col("text").alias("_text")), work, schema)
+    return common.over_batches(common.texts(documents), work, "doc_id long, lang_pred string, score double, languages map<string, double>")
 
 
 def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,6 +208,14 @@ def predictions(documents: DataFrame) -> DataFrame:
 
 def known_language(documents: DataFrame) -> DataFrame:
     """Rows of ``documents`` whose language can be told, all columns unchanged; the model learns from all labelled rows."""
-    model = fit(documents)
-    columns = tuple(documents.columns)
-    return predict(documents, model, keep=columns).filter(F.col("lang_pred") != UNKNOWN).select(*columns)
+    held = documents.sparkSession.sparkContext.broadcast(fit(documents))
+    column = documents.columns.index("text")
+
+    def work() -> object:
+        def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for some, _, ok in shares_of(held.value, batch, column):
+                yield some.filter(pa.array(ok))
+
+        return run
+
+    return common.over_batches(documents, work, documents.schema)

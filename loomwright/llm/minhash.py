@@ -15,8 +15,8 @@ its last, components are contracted, and after that only pairs of members of one
 and of those only pairs that can be linked: shingles that no other remaining document has are in no intersection, which
 bounds it.  All of these are compared, so no link is lost that the bands have found.
 
-doc_id must identify a text: rows with equal doc_id and text are allowed and get equal results.  Null
-texts have no words.  An empty table gives no rows.  Extra columns are kept by :func:`one_of_each` and ignored elsewhere.
+doc_id must identify a text: rows with equal doc_id and text are allowed and get equal results.  Rows without doc_id are linked with
+nothing and have no component_id.  Null texts have no words.  An empty table gives no rows.  Extra columns are kept by :func:`one_of_each` and ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -32,8 +32,6 @@ from ..operators.graph import connected_components
 from . import bloom, common
 
 BANDS, ROWS = 24, 4
-#: Bits of the filter of documents whose texts are compared.
-FILTER_BITS = 1 << 24
 _U32, _U64 = np.uint32, np.uint64
 
 
@@ -122,7 +120,7 @@ def signed_documents(documents: DataFrame, shingle: int, bands: int = BANDS, row
 
 def texts_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     """doc_id and text of the documents in ``wanted`` (doc); a Bloom filter spares the shuffle of most other texts."""
-    held = bloom.build(wanted.select("doc").filter("doc is not null"), FILTER_BITS)
+    held = bloom.build(wanted.select("doc").filter("doc is not null").distinct())
 
     def work() -> object:
         def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -184,15 +182,15 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
 
 def near_duplicates(documents: DataFrame, *, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id that links reach, itself included) for every row of ``documents``."""
-    signed = common.staged(signed_documents(documents, shingle, bands, rows))
-    classes = signed.filter("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("first"), F.min("n_shingles").alias("n"), F.min_by("bands", "doc_id").alias("bands"))
+    signed = common.staged(signed_documents(common.texts(documents), shingle, bands, rows))
+    classes = signed.filter("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("first"), F.min("n_shingles").alias("n"), F.min_by("bands", "doc_id").alias("bands"))
     classes = common.staged(classes)
     # members of buckets with two classes or more
     dealt = classes.select(F.col("first").alias("doc"), "n", F.explode("bands").alias("bucket"))
     shared = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("bucket")
     members = common.staged(dealt.join(shared, "bucket"))
 
-    texts = texts_of(documents, members)
+    texts = texts_of(common.texts(documents), members)
     labels, tested, links = None, None, None
     for hub in (F.min, F.max, None):
         named = members.withColumn("component", F.col("doc"))
@@ -233,7 +231,7 @@ def near_duplicates(documents: DataFrame, *, shingle: int = 5, percent: int = 80
     else:
         found = found.withColumnRenamed("first", "component")
     out = signed.join(found, ["set_a", "set_b"], "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op3_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,8 +242,9 @@ def op3_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_of_each(documents: DataFrame, *, shingle: int = 5, percent: int = 80) -> DataFrame:
     """``documents`` without those that have a linked document, or chain of them, with a smaller doc_id; columns unchanged.
 
-    Of rows with equal doc_id, one stays.
+    Of rows with equal doc_id, one stays; rows without doc_id all stay.
     """
     found = near_duplicates(documents, shingle=shingle, percent=percent)
-    kept = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return documents.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*documents.columns)
+    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    rest = documents.filter("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return rest.unionByName(documents.filter("doc_id is null"))

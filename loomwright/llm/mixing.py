@@ -14,7 +14,7 @@ Everything here is DataFrame operations.  No task holds a source: sizes are pre-
 sample ends is sorted row by row.
 
 Null texts have size 0 and are taken 0 times; so is a source of size 0.  Null sources are one source.
-Rows with equal doc_id share u; ties of rank break by doc_id, then size, and rows equal in both are
+Rows with equal doc_id share u, and rows without doc_id have u = 0.5; ties of rank break by doc_id, then size, and rows equal in both are
 taken in any order.  An empty table gives no rows.  Columns other than doc_id, text and
 source are ignored.
 """
@@ -139,13 +139,14 @@ def op2_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mix_documents(documents: DataFrame, **options: object) -> DataFrame:
-    """``documents`` with each row repeated as often as the mix takes it; all columns stay.
+    """``documents`` with each row repeated as often as the mix takes it; all columns stay, whatever their names.
 
-    A document's copies are found by doc_id, which must be unique in ``documents``.
+    A document's copies are found by doc_id.  Rows with equal doc_id, and rows without, are taken as often as the one of them that is taken most.
     """
-    copies = mix(common.staged(sizes(documents)), **options).filter("copies > 0").select("doc_id", F.col("copies").cast("int").alias("_copies"))
-    repeated = documents.join(copies, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return repeated.select(*documents.columns)
+    copies = mix(common.staged(sizes(documents)), **options).groupBy("doc_id").agg(F.max("copies").cast("int").alias("copies")).filter("copies > 0")
+    rows = documents.select(F.struct("*").alias("row"))
+    repeated = rows.join(copies, F.col("row.doc_id").eqNullSafe(copies["doc_id"])).select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return repeated.select("row.*")
 
 
 OP2_SQL = r"""

@@ -291,6 +291,35 @@ def test_suffix_arrays_are_sorted():
         assert suffixes.suffix_arrays(np.array(sum(strings, [])), off).tolist() == expected
 
 
+def test_permuted_prefixes_are_common_prefixes():
+    r = random.Random(5)
+    for _ in range(40):
+        pieces = [[bytes(r.choice(b"ab\0") for _ in range(r.randint(0, 40))) * r.choice([1, 1, 3]) for _ in range(r.randint(1, 4))] for _ in range(r.randint(1, 4))]
+        text, symbols, rest, string, off = [], [], [], [], [0]
+        for k, group in enumerate(pieces):
+            for i, piece in enumerate(group):
+                text += [*(x + len(group) for x in piece), len(group) - 1 - i]
+                symbols += [*piece, 0]
+                rest += range(len(piece), -1, -1)
+                string += [k] * (len(piece) + 1)
+            off.append(len(text))
+        array = suffixes.suffix_arrays(np.array(text), np.array(off))
+        got = suffixes.permuted_prefixes(np.array(symbols, np.uint8), np.array(rest), array, np.array(string))
+        want = np.zeros(len(text), int)
+        for i, j in zip(array[:-1].tolist(), array[1:].tolist(), strict=True):
+            while string[i] == string[j] and text[i + want[j]] == text[j + want[j]]:
+                want[j] += 1
+        assert got.tolist() == want.tolist()
+
+
+def test_substring_operators_leave_rows_without_id(spark):
+    text = " ".join(str(i * i) for i in range(80))
+    rows = [(None, text), (5, text), (None, None), (7, "x " + text)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.n_removed) for r in lempelziv.removed_words(documents).collect()} == {(None, 0), (5, 80), (7, 80)}
+    assert {(r.doc_id, r.n_removed) for r in suffixes.removed_bytes(documents).collect()} == {(None, 0), (5, 0), (7, len(text))}
+
+
 def test_equal_windows_share_an_anchor():
     r = np.random.default_rng(2)
     codes = r.integers(1, 3, 400).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
