@@ -7,31 +7,63 @@ Null in gives null out unless a docstring says otherwise.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The entities that occur in feeds.
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&amp;": "&"}
-SPACES = r"[ \t\n\x0B\f\r]+"
+#: Named characters: those of HTML 4, and the apostrophe.
+NAMED = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
+#: A named or numbered character.
+ENTITY = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+#: Hours from UTC of the zone names of mail dates.
+ZONES = {"Z": 0, "UT": 0, "UTC": 0, "GMT": 0, "EST": -5, "EDT": -4, "CST": -6, "CDT": -5, "MST": -7, "MDT": -6, "PST": -8, "PDT": -7}
+SPACES = r"[ \t\n\x0B\f\r\u00A0\u3000]+"
+BRACKETS = r"^(\s*(\[[^\]]{1,12}\]|【[^】]{1,12}】|\([^)]{1,8}\))\s*)+"
 ORDINALS = ("LOW", "MEDIUM", "HIGH")
 
 
+def unescape(text: Column) -> Column:
+    """Named and numbered characters replaced; what is neither stays as it is."""
+    names = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
+
+    def character(entity: Column) -> Column:
+        inner = F.regexp_extract(entity, ENTITY, 1)
+        code = F.when(inner.rlike("^#[xX]"), F.conv(F.substring(inner, 3, 9), 16, 10)).when(inner.startswith("#"), F.substring(inner, 2, 9)).cast("int")
+        valid = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code < 0x110000))
+        numbered = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        return F.coalesce(numbered, F.try_element_at(names, inner), entity)
+
+    parts = F.split(text, ENTITY)
+    rest = F.zip_with(F.regexp_extract_all(text, F.lit(ENTITY), 0), F.slice(parts, F.lit(2), F.size(parts)), lambda e, after: F.concat(character(e), after))
+    return F.when(text.rlike(ENTITY), F.concat(parts[0], F.array_join(rest, ""))).otherwise(text)
+
+
 def clean_text(raw: Column) -> Column:
-    """Without comments and tags, entities replaced, white space collapsed, and a preprint prefix dropped."""
-    out = F.regexp_replace(raw, "(?s)<!--.*?-->", " ")
-    out = F.regexp_replace(out, "<[^>]*>", " ")
-    for entity, text in ENTITIES.items():
-        out = F.replace(out, F.lit(entity), F.lit(text))
+    """Characters unescaped, so that escaped tags are tags, comments and tags dropped, unescaped again, white space collapsed, and a preprint prefix dropped."""
+    out = F.regexp_replace(unescape(raw), "(?s)<!--.*?(-->|$)", " ")
+    out = unescape(F.regexp_replace(out, "<[^>]+>", " "))
     out = F.trim(F.regexp_replace(out, SPACES, " "))
-    return F.regexp_replace(out, r"^arXiv:[0-9.v]+ Announce Type: [a-z]+ Abstract: ", "")
+    return F.regexp_replace(out, r"(?i)^arXiv:\S+ Announce Type: ?\S+ ?(Abstract:)? ?", "")
 
 
 def parse_published(text: Column, now: Column, default_offset_hours: int = 0) -> Column:
-    """A timestamp from ISO or RFC 822 text (without zone: ``default_offset_hours`` ahead of UTC); null if neither; more than 10 minutes after ``now``: now."""
-    plain = F.regexp_replace(text, r"^[A-Za-z]{3}, ", "")
-    parsed = F.coalesce(*(F.try_to_timestamp(plain, F.lit(f)) for f in ("yyyy-MM-dd HH:mm:ss", "dd MMM yyyy HH:mm:ss", "yyyy-MM-dd")))
-    shifted = parsed - F.expr(f"interval {default_offset_hours} hours")
+    """A timestamp from ISO or RFC 822 text; null if neither; more than 10 minutes after ``now``: now.
+
+    Zones are numbers, ``Z`` or the names of :data:`ZONES`; text without zone is ``default_offset_hours`` ahead of UTC.
+    """
+    timed = r"^(.*:[0-9]{2})(?:\.[0-9]+)? ?(" + "|".join(ZONES) + r"|[+-][0-9]{2}:?[0-9]{2})$"
+    bare = F.trim(text)
+    zone = F.regexp_extract(bare, timed, 2)
+    body = F.when(zone != "", F.regexp_extract(bare, timed, 1)).otherwise(F.regexp_replace(bare, r"(:[0-9]{2})\.[0-9]+$", "$1"))
+    body = F.regexp_replace(F.regexp_replace(body, r"^[A-Za-z]{3}, ", ""), r"^([0-9]{4}-[0-9]{2}-[0-9]{2})T", "$1 ")
+    formats = ("yyyy-MM-dd HH:mm:ss", "d MMM yyyy HH:mm:ss", "yyyy-MM-dd HH:mm", "d MMM yyyy HH:mm", "yyyy-MM-dd")
+    parsed = F.coalesce(*(F.try_to_timestamp(body, F.lit(f)) for f in formats))
+    digits = F.regexp_replace(zone, ":", "")
+    numbered = F.concat(F.substring(digits, 1, 1), F.lit("1")).cast("int") * (F.substring(digits, 2, 2).cast("int") * 60 + F.substring(digits, 4, 2).cast("int"))
+    named = F.try_element_at(F.create_map(*[F.lit(x) for pair in ZONES.items() for x in pair]), zone) * 60
+    minutes = F.when(zone == "", F.lit(default_offset_hours * 60)).when(zone.rlike("^[+-]"), numbered).otherwise(named)
+    shifted = parsed - F.make_dt_interval(F.lit(0), F.lit(0), minutes)
     return F.when(shifted > now + F.expr("interval 10 minutes"), now).otherwise(shifted)
 
 
@@ -72,8 +104,8 @@ def content_hash(title: Column, summary: Column) -> Column:
 
 
 def title_key(title: Column, length: int | None = 60) -> Column:
-    """Lower-cased, leading bracketed tags and all but letters and digits dropped, cut to ``length`` if any."""
-    bare = F.regexp_replace(F.lower(title), r"^( *\[[^\]]*\] *)+", "")
+    """Unescaped and lower-cased, leading bracketed tags (12 characters at most, 8 in round brackets) and all but letters and digits dropped, cut to ``length`` if any."""
+    bare = F.regexp_replace(F.lower(unescape(title)), BRACKETS, "")
     key = F.regexp_replace(bare, r"[^\p{L}\p{N}_]+", "")
     return key if length is None else F.substring(key, 1, length)
 

@@ -51,6 +51,31 @@ def fuzzy_title_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.ordered_greedy(rows, "doc_id", similar_titles(rows))
 
 
+def edit_ratio_pairs(rows: DataFrame, percent: int = 86) -> DataFrame:
+    """a, b: rows (doc_id, category, title) of one category whose titles differ by ``100 - percent`` % edits of the longer one at most.
+
+    An edit changes two neighbouring pairs of characters at most, so of two titles of n characters and e edits at most 2 * e of n - 1 pairs, counted
+    with repetition, differ on each side: candidates share (n - 1 - 2 * e) of (n - 1 + 2 * e), and the edit distance is measured for these only.
+    """
+    titles = rows.select("doc_id", "category", "title").filter("length(title) > 1")
+    pairs = titles.select("doc_id", "category", F.explode(F.regexp_extract_all("title", F.lit("(?s)(?=(..))"), 1)).alias("g")).groupBy("doc_id", "category", "g").agg(F.count(F.lit(1)).alias("n"))
+    numbered = pairs.select("doc_id", "category", F.explode(F.transform(F.sequence(F.lit(1), F.col("n")), lambda k: F.concat_ws("#", "g", k))).alias("g"))
+    sets = numbered.groupBy("doc_id", "category").agg(F.collect_list("g").alias("grams"))
+    edits = 100 - percent
+    found = S.jaccard_pairs(sets, "doc_id", "grams", ["category"], percent=(100 - 2 * edits) * 100 // (100 + 2 * edits) - 1)
+    text = titles.select("doc_id", "title")
+    both = found.select("a", "b").join(text.toDF("a", "x"), "a").join(text.toDF("b", "y"), "b")
+    most = F.floor(F.greatest(F.length("x"), F.length("y")) * edits / 100)
+    return both.filter(F.abs(F.length("x") - F.length("y")) <= most).filter(F.levenshtein("x", "y") <= most).select("a", "b")
+
+
+@query()
+def sequence_similarity_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document and its group's first one: titles of a category with an edit ratio of 0.86 or more, by ordered greedy selection."""
+    rows = items(spark, sf_dir)
+    return S.ordered_greedy(rows, "doc_id", edit_ratio_pairs(rows))
+
+
 WORDS = r"w as (select distinct doc_id, category, unnest(regexp_extract_all(lower(title), '[\p{L}\p{N}]+')) as w from items), s as (select * from w where length(w) >= 4), n as (select doc_id, count(*) as n from s group by 1)"
 
 
@@ -61,14 +86,14 @@ def _signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(I + f", {WORDS} select a.doc_id as a, b.doc_id as b, count(*) as shared from s a join s b on a.w = b.w and a.doc_id < b.doc_id join n x on a.doc_id = x.doc_id join n y on b.doc_id = y.doc_id where x.n >= 4 and y.n >= 4 group by a.doc_id, b.doc_id, x.n, y.n having count(*) >= 3 and 2 * count(*) >= least(x.n, y.n)")
 def same_story_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs that share three content words and half of the smaller set."""
-    found = S.overlap_pairs(_signatures(spark, sf_dir).filter(F.size("sig") >= 4), "doc_id", "sig", least=3)
+    found = S.overlap_pairs(_signatures(spark, sf_dir).filter(F.size("sig") >= 4), "doc_id", "sig", percent=50, least=3)
     return found.filter("2 * shared >= least(n_a, n_b)").select("a", "b", F.col("shared").cast("long").alias("shared"))
 
 
 @query(I + f", {WORDS} select distinct b.doc_id from (select a.doc_id as a, b.doc_id, count(*) as shared from s a join s b on a.w = b.w and a.doc_id < b.doc_id group by all) b join n x on b.a = x.doc_id join n y on b.doc_id = y.doc_id where shared * 100 >= 85 * least(x.n, y.n)")
 def near_duplicate_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows whose words overlap an earlier row's by 85 % of the smaller set, whether that one stays or not."""
-    found = S.overlap_pairs(_signatures(spark, sf_dir), "doc_id", "sig")
+    found = S.overlap_pairs(_signatures(spark, sf_dir), "doc_id", "sig", percent=85)
     return found.filter("shared * 100 >= 85 * least(n_a, n_b)").select(F.col("b").alias("doc_id")).distinct()
 
 

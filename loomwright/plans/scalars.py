@@ -13,23 +13,43 @@ POSITIVE, NEGATIVE = "(?i)tion", "(?i)ing"
 STOP = ("the", "of", "and", "de", "la", "les", "der", "die")
 
 
-@query(r"""
-select page_id, regexp_replace(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'),
- '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'), '[ \t\n\x0B\f\r]+', ' ', 'g')), '^arXiv:[0-9.v]+ Announce Type: [a-z]+ Abstract: ', '') as cleaned
-from pages
+NAMES_SQL = "map {" + ", ".join(f"{k!r}: chr({ord(v)})" for k, v in X.NAMED.items()) + "}"
+
+
+def unescape_sql(x: str) -> str:
+    """``x`` with named and numbered characters replaced."""
+    code = "try_cast(case when starts_with(lower(z[1]), '&#x') then '0x' || substr(z[1], 4, length(z[1]) - 4) when starts_with(z[1], '&#') then substr(z[1], 3, length(z[1]) - 3) end as int)"
+    one = f"coalesce(case when {code} between 1 and 55295 or {code} between 57344 and 1114111 then chr({code}) end, {NAMES_SQL}[substr(z[1], 2, length(z[1]) - 2)], z[1])"
+    split = f"regexp_split_to_array({x}, '{X.ENTITY}')"
+    return f"case when regexp_matches({x}, '{X.ENTITY}') then {split}[1] || array_to_string(list_transform(list_zip(regexp_extract_all({x}, '{X.ENTITY}'), {split}[2:]), lambda z: {one} || z[2]), '') else {x} end"
+
+
+SPACES_SQL = r"[ \t\n\x0B\f\r\x{A0}\x{3000}]+"
+
+
+@query(f"""
+with first as (select page_id, {unescape_sql("html")} as t from pages), bare as (select page_id, regexp_replace(regexp_replace(t, '(?s)<!--.*?(-->|$)', ' ', 'g'), '<[^>]+>', ' ', 'g') as t from first),
+second as (select page_id, {unescape_sql("t")} as t from bare)
+select page_id, regexp_replace(trim(regexp_replace(t, '{SPACES_SQL}', ' ', 'g')), '(?i)^arXiv:\\S+ Announce Type: ?\\S+ ?(Abstract:)? ?', '') as cleaned from second
 """)
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", X.clean_text(F.col("html")).alias("cleaned"))
 
 
 @query("""
-with raw as (select event_id, case event_id % 4 when 0 then strftime(ts, '%Y-%m-%d %H:%M:%S') when 1 then strftime(ts, '%a, %d %b %Y %H:%M:%S') when 2 then strftime(ts, '%Y-%m-%d') else 'soon' end as s from events),
-parsed as (select event_id, coalesce(try_strptime(s, '%Y-%m-%d %H:%M:%S'), try_strptime(s, '%a, %d %b %Y %H:%M:%S'), try_strptime(s, '%Y-%m-%d')) - interval 9 hours as t from raw)
-select event_id, case when t > timestamp '2024-01-20 00:10:00' then timestamp '2024-01-20 00:00:00' else t end as published from parsed
+with t as (select event_id, event_id % 8 as k, date_trunc('second', ts) as s from events),
+shifted as (select event_id, case k when 0 then s - interval 9 hours when 1 then s - interval 9 hours when 2 then date_trunc('day', s) - interval 9 hours when 4 then s when 5 then s - interval 330 minutes when 6 then s when 7 then s + interval 5 hours end as t from t)
+select event_id, case when t > timestamp '2024-01-20 00:10:00' then timestamp '2024-01-20 00:00:00' else t end as published from shifted
 """)
 def parse_published(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("event_id") % 4
-    raw = F.when(k == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).when(k == 1, F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss")).when(k == 2, F.date_format("ts", "yyyy-MM-dd")).otherwise("soon")
+    """Dates in eight forms: ISO and mail dates, with and without zone, and no date."""
+    day, mail = "yyyy-MM-dd", "EEE, dd MMM yyyy HH:mm:ss"
+    forms = [
+        F.date_format("ts", f"{day} HH:mm:ss"), F.date_format("ts", mail), F.date_format("ts", day), F.lit("soon"),
+        F.concat(F.date_format("ts", mail), F.lit(" GMT")), F.concat(F.date_format("ts", mail), F.lit(" +0530")),
+        F.concat(F.date_format("ts", f"{day}'T'HH:mm:ss"), F.lit(".5Z")), F.concat(F.date_format("ts", mail), F.lit(" EST")),
+    ]
+    raw = F.element_at(F.array(*forms), (F.col("event_id") % 8 + 1).cast("int"))
     return table(spark, sf_dir, "events").select("event_id", X.parse_published(raw, F.lit("2024-01-20 00:00:00").cast("timestamp"), 9).alias("published"))
 
 
@@ -63,7 +83,7 @@ def url_host(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("path").alias("n_paths"))
 
 
-KEY_SQL = r"substr(regexp_replace(regexp_replace(lower(title), '^( *\[[^\]]*\] *)+', ''), '[^\p{L}\p{N}_]+', '', 'g'), 1, 60)"
+KEY_SQL = f"substr(regexp_replace(regexp_replace(lower({unescape_sql('title')}), '{X.BRACKETS}', ''), '[^\\p{{L}}\\p{{N}}_]+', '', 'g'), 1, 60)"
 
 
 @query(f"with {ITEMS_SQL} select doc_id, {KEY_SQL} as key from items")

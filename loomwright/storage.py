@@ -17,10 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under the one that driver and executors share (``spark.checkpoint.dir``).
 
-    Where the setting is empty (tests on one machine), a temporary folder serves.
+    Where the setting is empty, a temporary folder serves a session on one machine; on a cluster, where it would not be shared, this raises.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     return posixpath.join(root, f"loom-{uuid.uuid4().hex}")

@@ -17,8 +17,45 @@ def one(spark, column, value=None):
     return spark.createDataFrame([(value,)], "v string").select(column.alias("x")).first().x
 
 
+def test_published_dates_with_and_without_zones(spark):
+    now = F.lit("2024-06-01 00:00:00").cast("timestamp")
+    noon = ["2024-01-01 12:00:00", "Mon, 01 Jan 2024 12:00:00 GMT", "Mon, 1 Jan 2024 21:00:00 +0900", "2024-01-01T12:00:00Z", "2024-01-01T12:00:00.25+00:00", "2024-01-01T10:30:00-01:30", "1 Jan 2024 07:00 EST", "2024-01-01T12:00:00"]
+    assert {str(one(spark, X.parse_published(F.lit(x), now))) for x in noon} == {"2024-01-01 12:00:00"}
+    assert str(one(spark, X.parse_published(F.lit("2024-01-01T12:00:00"), now, 9))) == "2024-01-01 03:00:00"
+    assert str(one(spark, X.parse_published(F.lit("2025-01-01"), now))) == "2024-06-01 00:00:00"
+    assert one(spark, X.parse_published(F.lit("soon"), now)) is None
+
+
+def test_edit_ratio_pairs_miss_nothing(spark):
+    import random
+
+    from loomwright.plans import joins
+
+    def distance(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            last, row[0] = row[0], i
+            for j, d in enumerate(y, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != d))
+        return row[-1]
+
+    r = random.Random(1)
+    base = ["".join(r.choice("ab c") for _ in range(r.randrange(0, 40))) for _ in range(12)]
+    rows = []
+    for k in range(90):
+        t = list(r.choice(base))
+        for _ in range(r.randrange(0, 6)):
+            t[r.randrange(0, len(t) + 1) : r.randrange(0, len(t) + 1)] = [r.choice("abc")] * r.randrange(0, 2)
+        rows.append((k, f"c{k % 2}", "".join(t)))
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and min(len(a[2]), len(b[2])) > 1 and distance(a[2], b[2]) <= 14 * max(len(a[2]), len(b[2])) // 100}
+    got = joins.edit_ratio_pairs(spark.createDataFrame(rows, "doc_id int, category string, title string"))
+    assert {tuple(x) for x in got.collect()} == want and len(want) > 5
+
+
 def test_clean_text_drops_markup(spark):
-    assert one(spark, X.clean_text(F.lit("<p>a&nbsp;&lt;b&gt;<!-- x\n y --> c</p>"))) == "a <b> c"
+    assert one(spark, X.clean_text(F.lit("<p>a&nbsp;&lt;b&gt;<!-- x\n y --> c</p>"))) == "a c"
+    assert one(spark, X.clean_text(F.lit("&lt;p&gt;hi&#8217;s &amp;amp; &#x1F600;&bogus; &#0;<!-- open"))) == "hi\u2019s & \U0001f600&bogus; &#0;"
+    assert one(spark, X.title_key(F.lit("[단독] (video) A&amp;B: C_d"))) == "abc_d"
     assert one(spark, X.clean_text(F.col("v"))) is None
 
 
