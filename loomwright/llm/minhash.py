@@ -12,8 +12,8 @@ of 0.8 is missed with probability (1 - 0.8 ** 4) ** 24 < 4e-6.
 Documents with equal sets form a class, and only one of a class goes on.  Buckets of candidates are never
 expanded into all pairs: first every member is compared with the bucket's first member, then what is still unconnected with
 its last, components are contracted, and after that only pairs of members of one bucket that lie in different components are compared,
-and of those only pairs that can be linked: shingles that no other remaining document has are in no intersection, which
-bounds it.  All of these are compared, so no link is lost that the bands have found.
+and of those only pairs that can be linked: sketches of the sets' parities bound from below in how many shingles
+two sets differ.  All of these are compared, so no link is lost that the bands have found.
 
 doc_id must identify a text: rows with equal doc_id and text are allowed and get equal results.  Rows without doc_id are linked with
 nothing and have no component_id.  Null texts have no words.  An empty table gives no rows.  Extra columns are kept by :func:`one_of_each` and ignored elsewhere.
@@ -21,7 +21,9 @@ nothing and have no component_id.  Null texts have no words.  An empty table giv
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -132,19 +134,34 @@ def texts_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     return common.staged(maybe.join(wanted.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
 
-def lone_shingles(texts: DataFrame, shingle: int) -> DataFrame:
-    """doc and lone: for each of ``texts``, how many of its shingles none of the others has."""
+#: Bits of a sketch, in 64-bit words.
+SKETCH_WORDS = 16
+
+
+def sketches(texts: DataFrame, shingle: int) -> DataFrame:
+    """doc and s0, s1, ...: for each of ``texts`` the parity of the number of its shingles in each of 64 * SKETCH_WORDS cells.
+
+    Two sets differ in at least as many shingles as their sketches differ in bits, whatever their sizes.
+    """
+    bits, names = 64 * SKETCH_WORDS, [f"s{k}" for k in range(SKETCH_WORDS)]
 
     def work() -> object:
         def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for some, raw, at in common.slices(batch):
                 hashes, of = shingle_hashes(raw, at, shingle)
-                yield pa.RecordBatch.from_arrays([common.signed(hashes), some.column("doc_id").take(pa.array(common.rows_of(of)))], names=["h", "doc"])
+                cells = (common.mix(hashes + _U64(0x2545F4914F6CDD1D)) & _U64(bits - 1)).astype(np.int64)
+                parts = []
+                for i in range(0, some.num_rows, 1024):
+                    j = min(i + 1024, some.num_rows)
+                    row = np.repeat(np.arange(j - i), np.diff(of[i : j + 1]))
+                    odd = np.bincount(row * bits + cells[of[i] : of[j]], minlength=(j - i) * bits) & 1
+                    parts.append(np.packbits(odd.astype(np.uint8)).view(_U64).reshape(j - i, SKETCH_WORDS))
+                words = np.concatenate(parts)
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), *(common.signed(np.ascontiguousarray(words[:, k])) for k in range(SKETCH_WORDS))], names=["doc", *names])
 
         return run
 
-    each = common.over_batches(texts.select("doc_id", "text"), work, "h long, doc long")
-    return each.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("doc").alias("doc")).filter("m = 1").groupBy("doc").agg(F.count(F.lit(1)).alias("lone"))
+    return common.over_batches(texts.select("doc_id", "text"), work, ", ".join(f"{x} long" for x in ["doc", *names]))
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -204,14 +221,12 @@ def near_duplicates(documents: DataFrame, *, shingle: int = 5, percent: int = 80
             # buckets that still hold several components: a bucket's member meets those of other components
             open_ = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
             rest = common.staged(named.join(open_, "bucket"))
-            # shingles that none of the rest shares can't be in an intersection: with too many of them a document has no partner
-            lone = lone_shingles(texts.join(rest.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"), shingle)
-            bound = F.col("n") - F.coalesce("lone", F.lit(0))
-            left = rest.join(lone, "doc", "left").select("bucket", "doc", "n", "component", bound.alias("most")).filter(F.col("most") * 100 >= F.col("n") * percent)
-            left = common.staged(left)
-            right = left.select("bucket", F.col("doc").alias("doc_b"), F.col("n").alias("n_b"), F.col("component").alias("component_b"), F.col("most").alias("most_b"))
-            # an intersection of i shingles is enough if 100 * i >= percent * (n_a + n_b - i)
-            possible = F.least("most", "most_b") * (100 + percent) >= (F.col("n") + F.col("n_b")) * percent
+            sketch = sketches(texts.join(rest.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"), shingle)
+            left = common.staged(rest.join(sketch, "doc"))
+            right = left.select(*(F.col(c).alias(c if c == "bucket" else f"{c}_b") for c in left.columns))
+            # sets of n_a + n_b shingles are linked if they differ in d with d * (100 + percent) <= (n_a + n_b) * (100 - percent)
+            differ = reduce(operator.add, (F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"s{k}_b"))) for k in range(SKETCH_WORDS)))
+            possible = differ * (100 + percent) <= (F.col("n") + F.col("n_b")) * (100 - percent)
             pairs = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("doc") < F.col("doc_b")) & (F.col("component") != F.col("component_b")) & possible)
             pairs = pairs.select(F.col("doc").alias("a"), F.col("doc_b").alias("b"), F.col("n").alias("n_a"), "n_b")
         # a set of n shingles can't be linked with one of more than n * 100 / percent
