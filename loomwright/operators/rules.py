@@ -114,3 +114,22 @@ def stance_gate(text: Column, topics: Sequence[str], stance: Sequence[str], grow
         return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.lower(text).contains(w))
 
     return X.first_match([("NO_TOPIC", ~any_of(topics)), ("ADMIT", any_of(stance)), ("GROWTH_ONLY", any_of(growth))], "NO_STANCE")
+
+
+def region_class(text: Column, direct: Sequence[str], structural: Mapping[str, Sequence[str]], context: Sequence[str], most: int = 5) -> Column:
+    """status, relation, axis and the first ``most`` matched patterns, case aside; null text matches nothing.
+
+    PASS where a direct pattern occurs; else NEEDS_REVIEW with the first structural axis that has a match, or with a context pattern; else FAIL.
+    """
+    whole = F.coalesce(text, F.lit(""))
+
+    def found(patterns: Sequence[str]) -> Column:
+        return X.matched([(p, whole.rlike(f"(?i){p}")) for p in patterns])
+
+    def row(status: str, relation: str, axis: str | None, hits: Column) -> Column:
+        return F.struct(F.lit(status).alias("status"), F.lit(relation).alias("relation"), F.lit(axis).cast("string").alias("axis"), F.slice(hits, 1, most).alias("matched"))
+
+    out = F.when(F.size(found(direct)) > 0, row("PASS", "DIRECT", None, found(direct)))
+    for axis, patterns in structural.items():
+        out = out.when(F.size(found(patterns)) > 0, row("NEEDS_REVIEW", "STRUCTURAL", axis, found(patterns)))
+    return out.when(F.size(found(context)) > 0, row("NEEDS_REVIEW", "CONTEXT", None, found(context))).otherwise(row("FAIL", "NONE", None, F.array().cast("array<string>")))

@@ -79,12 +79,27 @@ def topic_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items(spark, sf_dir).select("doc_id", topic.alias("topic"))
 
 
-@query("""select n_nationkey, case when r_name like 'A%' then 'PASS' when contains(n_name, 'I') then 'NEEDS_REVIEW' else 'FAIL' end as decision, case r_name when 'AMERICA' then 'TIER1' when 'ASIA' then 'TIER2' else 'TIER3' end as tier from nation join region on n_regionkey = r_regionkey""")
+@query(I + r""", m as (select doc_id, source, category, title,
+ list_filter([case when regexp_matches(title || ' ' || body, '(^|[^a-z])tion', 'i') then '(^|[^a-z])tion' end, case when regexp_matches(title || ' ' || body, 'eau([^a-z]|$)', 'i') then 'eau([^a-z]|$)' end], lambda x: x is not null) as direct,
+ list_filter([case when regexp_matches(title || ' ' || body, 'ment([^a-z]|$)', 'i') then 'ment([^a-z]|$)' end], lambda x: x is not null) as cost,
+ list_filter([case when regexp_matches(title || ' ' || body, 'ing([^a-z]|$)', 'i') then 'ing([^a-z]|$)' end, case when regexp_matches(title || ' ' || body, 'der([^a-z]|$)', 'i') then 'der([^a-z]|$)' end], lambda x: x is not null) as supply,
+ list_filter([case when regexp_matches(title || ' ' || body, 'ch([^a-z]|$)', 'i') then 'ch([^a-z]|$)' end], lambda x: x is not null) as context from (select doc_id, source, category, coalesce(title, '') as title, coalesce(body, '') as body from items))
+select doc_id, case when len(direct) > 0 then 'PASS' when len(cost) + len(supply) + len(context) > 0 then 'NEEDS_REVIEW' else 'FAIL' end as status,
+ case when len(direct) > 0 then 'DIRECT' when len(cost) + len(supply) > 0 then 'STRUCTURAL' when len(context) > 0 then 'CONTEXT' else 'NONE' end as relation,
+ case when len(direct) > 0 then null when len(cost) > 0 then 'cost' when len(supply) > 0 then 'supply' end as axis,
+ array_to_string(case when len(direct) > 0 then direct when len(cost) > 0 then cost when len(supply) > 0 then supply else context end, ',') as matched,
+ case when source in ('src1', 'src2') then 'TIER1' when source in ('src3', 'src4') then 'TIER2' else 'TIER3' end as tier,
+ case when contains(title, 'tion') then 'policy' when contains(title, 'th') then 'energy' else 'other' end as field,
+ case category when 'en' then 'US' when 'fr' then 'FR' when 'de' then 'DE' else 'UNKNOWN' end as country from m""")
 def region_and_tier_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    decision = X.first_match([("PASS", F.col("r_name").startswith("A")), ("NEEDS_REVIEW", F.col("n_name").contains("I"))], "FAIL")
-    tier = X.first_match([("TIER1", F.col("r_name") == "AMERICA"), ("TIER2", F.col("r_name") == "ASIA")], "TIER3")
-    return n.select("n_nationkey", decision.alias("decision"), tier.alias("tier"))
+    """Each document's relevance by ordered pattern sets over title and body, the tier of its source, field by title and country; whole texts. A word ends where no letter a-z follows."""
+    title = F.coalesce("title", F.lit(""))
+    kind = R.region_class(F.concat_ws(" ", title, "body"), [r"(^|[^a-z])tion", r"eau([^a-z]|$)"], {"cost": [r"ment([^a-z]|$)"], "supply": [r"ing([^a-z]|$)", r"der([^a-z]|$)"]}, [r"ch([^a-z]|$)"])
+    tier = X.first_match([("TIER1", F.col("source").isin("src1", "src2")), ("TIER2", F.col("source").isin("src3", "src4"))], "TIER3")
+    field = X.first_match([("policy", title.contains("tion")), ("energy", title.contains("th"))], "other")
+    country = X.first_match([("US", F.col("category") == "en"), ("FR", F.col("category") == "fr"), ("DE", F.col("category") == "de")], "UNKNOWN")
+    found = items(spark, sf_dir).select("doc_id", kind.alias("k"), tier.alias("tier"), field.alias("field"), country.alias("country"))
+    return found.select("doc_id", "k.status", "k.relation", "k.axis", F.array_join("k.matched", ",").alias("matched"), "tier", "field", "country")
 
 
 @query("""select event_id from events where event_type = 'purchase' or epoch(timestamp '2024-01-31 00:00:00') - floor(epoch(ts)) <= 3600 * case when event_type = 'view' then 72 else 36 end""")

@@ -17,11 +17,11 @@ I = f"with {ITEMS_SQL}"  # noqa: E741
 
 @query(r"""with recursive k as (select distinct page_id as n, 'h' || regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)), '^(www|m|blog)\.', '') as h from pages), c as (select n, min(n) over (partition by h) as family from k) select n as page_id, family from c""".replace("with recursive k", "with k"))
 def evidence_families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages that share a host, one label per family: components over page-host edges, so a host never makes pairs of its pages."""
+    """Pages that share a host, labelled by its smallest page: one minimum per host, joined back, so a host never makes pairs of its pages; pages without URL are one family."""
     host = F.regexp_replace(F.lower(F.regexp_extract("url", "^[A-Za-z]+://([^/?#:]*)", 1)), r"^(www|m|blog)\.", "")
-    edges = table(spark, sf_dir, "pages").select(F.format_string("p%019d", "page_id").alias("a"), F.concat(F.lit("~"), host).alias("b"))
-    found = connected_components(edges).filter(~F.col("node").startswith("~"))
-    return found.select(F.substring("node", 2, 30).cast("long").alias("page_id"), F.substring("component", 2, 30).cast("long").alias("family"))
+    of = table(spark, sf_dir, "pages").select("page_id", host.alias("host"))
+    first = of.groupBy(F.col("host").alias("h")).agg(F.min("page_id").alias("family"))
+    return of.distinct().join(first, F.col("host").eqNullSafe(F.col("h"))).select("page_id", "family")
 
 
 @query(I + f""", {WORDS}, p as (select a.doc_id as a, b.doc_id as b, count(*) as shared from s a join s b on a.w = b.w and a.doc_id < b.doc_id group by all), e as (select a, b from p join n x on a = x.doc_id join n y on b = y.doc_id where shared * 2 >= x.n + y.n - shared),

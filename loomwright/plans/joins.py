@@ -142,7 +142,11 @@ def url_or_title_mention_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")
     said = p.select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="/([a-zA-Z]+)"'), 1))).alias("w"))
     known = p.select(F.col("page_id").alias("target"), F.regexp_extract("html", "<title>([A-Za-z]+)", 1).alias("w"))
-    return said.join(known, "w").filter("page_id <> target").groupBy("page_id").agg(F.min("target").alias("target")).withColumn("confidence", F.lit(0.95))
+    # the smallest target of a word, or the next one where that is the page itself: a row per word, however many pages have it
+    first = known.groupBy("w").agg(F.min("target").alias("first"))
+    second = known.join(first, "w").filter("target <> first").groupBy("w").agg(F.min("target").alias("second"))
+    best = said.join(first.join(second, "w", "left"), "w").select("page_id", F.when(F.col("first") != F.col("page_id"), F.col("first")).otherwise(F.col("second")).alias("target"))
+    return best.filter("target is not null").groupBy("page_id").agg(F.min("target").alias("target")).withColumn("confidence", F.lit(0.95))
 
 
 @query(I + f""", {WORDS}, t as (select doc_id from items where source = 'src1'), p as (select a.doc_id, b.doc_id as m, count(*) as shared from s a join s b on a.w = b.w and a.doc_id <> b.doc_id where b.doc_id in (select doc_id from t) group by all)

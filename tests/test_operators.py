@@ -190,3 +190,19 @@ def test_series_statuses(spark):
     got = {str(r.p): (r.change, r.status) for r in windows.period_change(rows, "k", "p", "v", 1).collect()}
     assert got == {"2024-01-01": (None, "MISSING"), "2024-02-01": (None, "ZERO_BASE"), "2024-03-01": (0.25, "OK")}
     assert windows.series_trend(rows, "k", "p", "v").first().trend == "INSUFFICIENT"
+
+
+def test_region_class_takes_the_first_set_that_matches(spark):
+    rows = [(1, "Chips and POWER"), (2, "power, water"), (3, "water"), (4, "hint"), (5, ""), (6, None), (7, "aa bb cc dd ee ff")]
+    kind = rules.region_class(F.col("t"), ["chip", "aa", "bb", "cc", "dd", "ee", "ff"], {"energy": ["power"], "supply": ["water", "power"]}, ["hint"])
+    got = {r["k"]: (r["status"], r["relation"], r["axis"], r["matched"]) for r in spark.createDataFrame(rows, "k int, t string").select("k", kind.alias("x")).select("k", "x.*").collect()}
+    none = ("FAIL", "NONE", None, [])
+    assert got == {
+        1: ("PASS", "DIRECT", None, ["chip"]),
+        2: ("NEEDS_REVIEW", "STRUCTURAL", "energy", ["power"]),
+        3: ("NEEDS_REVIEW", "STRUCTURAL", "supply", ["water"]),
+        4: ("NEEDS_REVIEW", "CONTEXT", None, ["hint"]),
+        5: none,
+        6: none,
+        7: ("PASS", "DIRECT", None, ["aa", "bb", "cc", "dd", "ee"]),
+    }
