@@ -327,27 +327,49 @@ def write_tokens(documents: DataFrame, folder: str, vocabulary: str, *, end_id:
     return common.staged(common.over_batches(ordered, work, DOC_TABLE, keep="encoders"))
 
 
-def read_tokens(doc_table: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """Ids of the documents of ``doc_table`` (or those whose doc_id is in ``wanted``): doc_id, part, seq, ids binary (32-bit little-endian).
+#: Bytes of ids that a reading task holds before it hands them on.
+READ_BYTES = 4 << 20
 
-    Only the frames that hold them are fetched and decompressed; every frame's checksum is tested.
-    """
-    rows = doc_table if wanted is None else doc_table.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _by_frame(doc_table: DataFrame, make: Callable[[list[bytes]], list[pa.Array]], schema: str) -> DataFrame:
+    """doc_id, part and seq of the documents, and what ``make`` gives for the ids of some of them."""
+
+    def read() -> object:
         name, reader, at, raw = None, None, None, b""
-        for batch in batches:
-            got = []
-            for file, frame, offset, n in zip(*(batch.column(c).to_pylist() for c in ("file", "frame", "frame_offset", "n_tokens")), strict=True):
+
+        def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            nonlocal name, reader, at, raw
+            got, held, begin = [], 0, 0
+
+            def emit(stop: int) -> pa.RecordBatch:
+                some = batch.slice(begin, stop - begin)
+                return pa.RecordBatch.from_arrays([*(some.column(c) for c in ("doc_id", "part", "seq")), *make(got)], names=[x.split()[0] for x in schema.split(", ")])
+
+            for k, (file, frame, offset, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("file", "frame", "frame_offset", "n_tokens")), strict=True)):
                 if file != name:
                     name, reader, at = file, FrameReader(files.reader(file)), None
                 if frame != at:
                     at, raw = frame, reader.frame(frame)
                 got.append(raw[offset : offset + 4 * n])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("part"), batch.column("seq"), pa.array(got, pa.binary())], names=["doc_id", "part", "seq", "ids"])
+                held += 4 * n
+                if held >= READ_BYTES:
+                    yield emit(k + 1)
+                    got, held, begin = [], 0, k + 1
+            if got:
+                yield emit(batch.num_rows)
 
-    by_frame = rows.repartition("file", "frame").sortWithinPartitions("file", "frame", "frame_offset")
-    return by_frame.mapInArrow(read, "doc_id long, part int, seq long, ids binary")
+        return run
+
+    return common.over_batches(doc_table.repartition("file", "frame").sortWithinPartitions("file", "frame", "frame_offset"), read, schema)
+
+
+def read_tokens(doc_table: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """Ids of the documents of ``doc_table`` (or those whose doc_id is in ``wanted``): doc_id, part, seq, ids binary (32-bit little-endian).
+
+    Only the frames that hold them are fetched and decompressed; every frame's checksum is tested.
+    """
+    rows = doc_table if wanted is None else doc_table.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    return _by_frame(rows, lambda ids: [pa.array(ids, pa.binary())], "doc_id long, part int, seq long, ids binary")
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -367,20 +389,14 @@ def token_digests(documents: DataFrame) -> DataFrame:
     Starts come from the ids read back: totals per file (one row each) are summed in order, and a running sum
     inside each file is added, so no task sees more than one file's rows or one row per file.
     """
-    spark = documents.sparkSession
-    ids = read_tokens(write_tokens(documents, common.shared_dir(spark), vocabulary_path()))
+    written = write_tokens(documents, common.shared_dir(documents.sparkSession), vocabulary_path())
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = batch.column("ids").to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("part"), batch.column("seq"), pa.array([len(x) // 4 for x in got], pa.int64()), pa.array([zlib.crc32(x) for x in got], pa.int64())],
-                names=["doc_id", "part", "seq", "n_tokens", "ids_crc32"],
-            )
+    def digest(ids: list[bytes]) -> list[pa.Array]:
+        return [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64())]
 
     from pyspark.sql import Window
 
-    found = common.staged(ids.mapInArrow(digest, "doc_id long, part int, seq long, n_tokens long, ids_crc32 long"))
+    found = common.staged(_by_frame(written, digest, "doc_id long, part int, seq long, n_tokens long, ids_crc32 long"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = found.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
