@@ -7,6 +7,7 @@ bounded whatever the length of the texts.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -46,15 +47,28 @@ CACHES: dict[str, dict] = {}
 Run = Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | None]
 
 
+def give_back() -> None:
+    """Memory that this worker has freed goes back to the system: an idle worker stays beside the next operators' workers for a minute."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
+def start_task(keep: str | None = None) -> None:
+    """Empties the caches of other operators than ``keep``."""
+    for name, cache in CACHES.items():
+        if name != keep:
+            cache.clear()
+    give_back()
+
+
 def over_batches(df: DataFrame, make: Callable[[], Run | tuple[Run, Callable[[], Iterator[pa.RecordBatch]]]], schema: str, *, keep: str | None = None) -> DataFrame:
     """``df.mapInArrow`` with one function made per task, or two: for each batch, and for the end."""
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, cache in CACHES.items():
-            if name != keep:
-                cache.clear()
-        pa.default_memory_pool().release_unused()
+        start_task(keep)
         made = make()
         work, end = made if isinstance(made, tuple) else (made, None)
         for batch in batches:
@@ -62,6 +76,8 @@ def over_batches(df: DataFrame, make: Callable[[], Run | tuple[Run, Callable[[],
                 yield from work(batch) or ()
         if end:
             yield from end()
+        made = work = end = None
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -83,6 +83,7 @@ def fit(labelled: DataFrame, *, bits: int = BUCKET_BITS) -> Model:
     number = {x: i for i, x in enumerate(names)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.start_task()
         total: dict[int, np.ndarray] = {}
 
         def out() -> pa.RecordBatch:
