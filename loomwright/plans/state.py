@@ -111,12 +111,23 @@ def staleness_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select("user_id", T.stale(F.col("t"), F.lit("2024-01-31 00:00:00").cast("timestamp"), 43200).alias("is_stale"))
 
 
-@query("""with m as (select o_orderpriority as series, date_trunc('month', o_orderdate)::date as period, sum(o_totalprice::decimal(18,2))::double as value from orders group by all) select series, count(*) as n, min(period) as admitted, arg_max(value, period) as latest from m group by 1""")
+@query("""with m as (select o_orderpriority as indicator, c_nationkey as geography, date_trunc('month', o_orderdate)::date as period, sum(o_totalprice::decimal(18,2)) as value from orders join customer on o_custkey = c_custkey group by all),
+a as (select indicator, geography, min(period) as admitted, count(*) as n, string_agg(period::varchar || '=' || value::varchar, ',' order by period) as observations from m where period < date '2001-07-01' and geography % 3 < 2 group by all),
+b as (select indicator, geography, min(period) as admitted, count(*) as n, string_agg(period::varchar || '=' || value::varchar, ',' order by period) as observations from m where geography % 3 > 0 group by all)
+select coalesce(a.indicator, b.indicator) as indicator, coalesce(a.geography, b.geography) as geography, coalesce(b.observations, a.observations) as observations, coalesce(b.n, a.n) as n, coalesce(a.admitted, b.admitted) as admitted,
+case when a.indicator is null then 'NEW' when b.indicator is null then 'ABSENT' when a.observations <> b.observations or a.n <> b.n then 'CHANGED' else 'UNCHANGED' end as change from a full join b on a.indicator = b.indicator and a.geography = b.geography""")
 def series_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..sources.tables import monthly_revenue
+    """One row per indicator and geography: incoming observations replace the held ones, the time of admission stays."""
+    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    monthly = orders.groupBy(F.col("o_orderpriority").alias("indicator"), F.col("c_nationkey").alias("geography"), F.trunc(F.col("o_orderdate").cast("date"), "month").alias("period"))
+    m = monthly.agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("value"))
 
-    m = monthly_revenue(spark, sf_dir)
-    return m.groupBy("series").agg(F.count(F.lit(1)).alias("n"), F.min("period").alias("admitted"), F.max_by(F.col("value").cast("double"), "period").alias("latest"))
+    def series(rows: DataFrame) -> DataFrame:
+        points = F.transform(F.array_sort(F.collect_list(F.struct("period", "value"))), lambda x: F.concat(x["period"].cast("string"), F.lit("="), x["value"].cast("string")))
+        return rows.groupBy("indicator", "geography").agg(F.min("period").alias("admitted"), F.count(F.lit(1)).alias("n"), F.array_join(points, ",").alias("observations"))
+
+    held, incoming = series(m.filter("period < '2001-07-01' and geography % 3 < 2")), series(m.filter("geography % 3 > 0"))
+    return T.merge(held, incoming, ["indicator", "geography"], {"observations": "new", "n": "new", "admitted": "keep"})
 
 
 @query("""select doc_id, lang as old, case when source = 'src2' then 'research' else lang end as new from documents""")
