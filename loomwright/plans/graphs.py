@@ -24,29 +24,42 @@ def evidence_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of.distinct().join(first, F.col("host").eqNullSafe(F.col("h"))).select("page_id", "family")
 
 
-@query(I + f""", {WORDS}, p as (select a.doc_id as a, b.doc_id as b, count(*) as shared from s a join s b on a.w = b.w and a.doc_id < b.doc_id group by all), e as (select a, b from p join n x on a = x.doc_id join n y on b = y.doc_id where shared * 2 >= x.n + y.n - shared),
-both_ as (select a, b from e union select b, a from e), r as (select a as node, a as label from both_), r1 as (select node, min(label) as label from (select node, label from r union all select b, label from r join both_ on node = a) group by 1),
-r2 as (select node, min(label) as label from (select node, label from r1 union all select b, label from r1 join both_ on node = a) group by 1), r3 as (select node, min(label) as label from (select node, label from r2 union all select b, label from r2 join both_ on node = a) group by 1),
-r4 as (select node, min(label) as label from (select node, label from r3 union all select b, label from r3 join both_ on node = a) group by 1), r5 as (select node, min(label) as label from (select node, label from r4 union all select b, label from r4 join both_ on node = a) group by 1),
-r6 as (select node, min(label) as label from (select node, label from r5 union all select b, label from r5 join both_ on node = a) group by 1), r7 as (select node, min(label) as label from (select node, label from r6 union all select b, label from r6 join both_ on node = a) group by 1),
-r8 as (select node, min(label) as label from (select node, label from r7 union all select b, label from r7 join both_ on node = a) group by 1)
-select node as doc_id, label as cluster, count(*) over (partition by label) as size from r8""")
+@query(I.replace("with ", "with recursive ", 1) + f""", {WORDS}, p as (select a.doc_id as a, b.doc_id as b, count(*) as shared from s a join s b on a.w = b.w and a.doc_id < b.doc_id group by all), e as (select a, b from p join n x on a = x.doc_id join n y on b = y.doc_id where shared * 2 >= x.n + y.n - shared),
+both_ as (select a, b from e union select b, a from e), reach as (select distinct a as node, a as seen from both_ union select b, seen from reach join both_ on node = a), r as (select node, min(seen) as label from reach group by 1)
+select node as doc_id, label as cluster, count(*) over (partition by label) as size from r""")
 def title_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles linked by word Jaccard of 0.5 or more, with the size of their cluster."""
     found = connected_components(S.jaccard_pairs(_signatures(spark, sf_dir), "doc_id", "sig", percent=50))
     return found.join(found.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "size")
 
 
-@query()
+@query("""with recursive o as (select o_orderkey, o_custkey, o_orderdate, o_orderpriority || '|' || strftime(o_orderdate, '%Y-%m') as bucket from orders),
+l as (select distinct o_orderkey, bucket, l_partkey from lineitem join o on l_orderkey = o_orderkey), sizes as (select bucket, count(distinct o_orderkey) as n from l group by 1),
+uses as (select bucket, l_partkey from l join sizes using (bucket) group by bucket, l_partkey, n having count(*) > 1 and count(*) <= greatest(5, 0.25 * n)),
+k as (select o_orderkey, bucket, l_partkey from l join uses using (bucket, l_partkey)), e as (select distinct x.o_orderkey as a, y.o_orderkey as b from k x join k y using (bucket, l_partkey)),
+reach as (select distinct a as node, a as seen from e union select b, seen from reach join e on node = a), c as (select node, min(seen) as component from reach group by 1),
+m as (select component, o_orderkey, o_custkey, o_orderdate, n_name from c join o on node = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey),
+r as (select component, n_name as region from (select component, n_name, row_number() over (partition by component order by count(*) desc, n_name) as k from m group by component, n_name) where k = 1)
+select arg_min(o_orderkey, (o_orderdate, o_orderkey)) as issue, count(*) as n_orders, count(distinct o_custkey) as n_sources, any_value(region) as region from m join r using (component) group by component having count(*) >= 2 and count(distinct o_custkey) >= 2""")
 def issue_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders of one priority and month linked by a part; parts of more than 5 orders, and more than a quarter, link nothing."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws("|", "o_orderpriority", F.date_format("o_orderdate", "yyyy-MM")).alias("bucket"))
+    """Orders of one priority and month linked by a part; parts of more than 5 orders, and more than a quarter, link nothing.
+
+    An issue has two orders of two customers or more, its most frequent nation (by name among equals), and its earliest order as id.
+    """
+    orders = table(spark, sf_dir, "orders")
+    o = orders.select("o_orderkey", F.concat_ws("|", "o_orderpriority", F.date_format("o_orderdate", "yyyy-MM")).alias("bucket"))
     l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey").distinct().join(o, "o_orderkey")  # noqa: E741
     sizes = l.groupBy("bucket").agg(F.countDistinct("o_orderkey").alias("all"))
     uses = l.groupBy("bucket", "l_partkey").agg(F.count(F.lit(1)).alias("uses")).join(sizes, "bucket").filter("uses > 1 and uses <= greatest(5, 0.25 * all)")
     edges = l.join(uses.select("bucket", "l_partkey"), ["bucket", "l_partkey"]).select(F.format_string("o%019d", "o_orderkey").alias("a"), F.concat_ws("|", F.lit("~"), "bucket", F.col("l_partkey").cast("string")).alias("b"))
-    found = connected_components(edges).filter(~F.col("node").startswith("~"))
-    return found.groupBy("component").agg(F.count(F.lit(1)).alias("n_orders")).select(F.substring("component", 2, 30).cast("long").alias("issue"), "n_orders")
+    found = connected_components(edges).filter(~F.col("node").startswith("~")).select("component", F.substring("node", 2, 30).cast("long").alias("o_orderkey"))
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey").join(nations, "c_nationkey")
+    members = found.join(orders.select("o_orderkey", "o_custkey", "o_orderdate"), "o_orderkey").join(customers, "o_custkey")
+    each = members.groupBy("component", "n_name", "o_custkey").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("o_orderdate", "o_orderkey")).alias("first"))
+    by_nation = each.groupBy("component", "n_name").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("customers"), F.min("first").alias("first"))
+    issues = by_nation.groupBy("component").agg(F.min("first").alias("first"), F.sum("n").alias("n_orders"), F.sum("customers").alias("n_sources"), F.min(F.struct((-F.col("n")).alias("o"), "n_name")).alias("most"))
+    return issues.filter("n_orders >= 2 and n_sources >= 2").select(F.col("first.o_orderkey").alias("issue"), "n_orders", "n_sources", F.col("most.n_name").alias("region"))
 
 
 @query()
