@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -17,15 +17,47 @@ I = f"with {ITEMS_SQL}"  # noqa: E741
 GROUPS = {"policy": "tion", "energy": "th", "labor": "ch", "water": "eau"}
 
 
-@query(I + r""", t as (select doc_id, 3 as w, unnest(regexp_extract_all(lower(title), '[\p{L}]{5,}')) as term from items union all select doc_id, 1, unnest(regexp_extract_all(lower(body), '[\p{L}]{5,}')) from items),
-s as (select doc_id, term, sum(w)::bigint as score from t group by all), r as (select *, row_number() over (partition by doc_id order by score desc, term) as k from s) select doc_id, term, score from r where k <= 4""")
+#: Words that are no key terms, by language.
+STOP = ("about", "after", "their", "there", "these", "those", "where", "which", "while", "would", "nicht", "einen", "einer", "cette", "leurs", "sobre", "entre", "desde")
+#: Weights of a word of the title and of the text, and of a quoted phrase of the title (2 to 14 characters, 3 words at most), which comes first by place.
+TITLE, BODY, QUOTED, WORDS_OF_A_PHRASE = 3, 1, 6, 3
+LETTERS = r"[\p{L}]{5,}"
+PHRASE = """[‘'"“]([^’'"”]{2,14})[’'"”]"""
+PHRASE_SQL = PHRASE.replace("'", "''")
+
+
+@query(I.replace("with ", "with recursive ", 1) + rf""", w as (select doc_id, {QUOTED} as w, list_transform(regexp_extract_all(lower(title), '{PHRASE_SQL}', 1), lambda x: trim(x)) as ts, 0::bigint as base from items union all select doc_id, {TITLE}, regexp_extract_all(lower(title), '{LETTERS}'), 1000000000 from items union all select doc_id, {BODY}, regexp_extract_all(lower(body), '{LETTERS}'), 2000000000 from items),
+t as (select doc_id, w, unnest(ts) as term, base + unnest(range(0, len(ts))) as place from w), s as (select doc_id, term, sum(w)::bigint as score, min(place) as place from t where term not in {STOP} and term <> '' and len(string_split(term, ' ')) <= {WORDS_OF_A_PHRASE} group by all),
+o as materialized (select *, row_number() over (partition by doc_id order by score desc, place) as k from s),
+g as (select doc_id, k, [term] as held, [score] as scores from o where k = 1 union all
+  select g.doc_id, o.k, case when len(list_filter(held, lambda y: contains(y, term) or contains(term, y))) > 0 then held else list_append(held, term) end, case when len(list_filter(held, lambda y: contains(y, term) or contains(term, y))) > 0 then scores else list_append(scores, score) end
+  from g join o on o.doc_id = g.doc_id and o.k = g.k + 1 where len(held) < 4),
+f as (select doc_id, arg_max(held, k) as held, arg_max(scores, k) as scores from g group by 1)
+select doc_id, unnest(held) as term, unnest(scores) as score, unnest(range(1, len(held) + 1))::int as rank from f""")
 def key_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 4 terms of each document with the largest weight, title words counting three times: a top-k report."""
-    d = items(spark, sf_dir)
-    letters = F.lit(r"[\p{L}]{5,}")
-    each = d.select("doc_id", F.explode(F.regexp_extract_all(F.lower("title"), letters, 0)).alias("term"), F.lit(3).alias("w")).unionAll(d.select("doc_id", F.explode(F.regexp_extract_all(F.lower("body"), letters, 0)).alias("term"), F.lit(1).alias("w")))
-    s = each.groupBy("doc_id", "term").agg(F.sum("w").alias("score"))
-    return s.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "term"))).filter("k <= 4").drop("k")
+    return weighted_terms(items(spark, sf_dir), 4)
+
+
+def weighted_terms(documents: DataFrame, keep: int) -> DataFrame:
+    """doc_id, term, score, rank: the ``keep`` terms of each document (doc_id, title, body) with the largest weight, and of equal ones the first by place.
+
+    Stop words count nothing.  A term inside a better one that was kept, or around it, is left out: one fold over a document's distinct terms.
+    """
+
+    def placed(terms: Column, w: int, base: int) -> Column:
+        return F.transform(F.coalesce(terms, F.array().cast("array<string>")), lambda t, i: F.struct(t.alias("term"), F.lit(w).alias("w"), (i + F.lit(base).cast("long")).alias("place")))
+
+    every = F.concat(
+        placed(F.transform(F.regexp_extract_all(F.lower("title"), F.lit(PHRASE), 1), F.trim), QUOTED, 0),
+        placed(F.regexp_extract_all(F.lower("title"), F.lit(LETTERS), 0), TITLE, 1_000_000_000),
+        placed(F.regexp_extract_all(F.lower("body"), F.lit(LETTERS), 0), BODY, 2_000_000_000),
+    )
+    each = documents.select("doc_id", F.explode(every).alias("x")).select("doc_id", "x.*").filter(~F.col("term").isin(*STOP) & (F.col("term") != "") & (F.size(F.split("term", " ")) <= WORDS_OF_A_PHRASE))
+    scored = each.groupBy("doc_id", "term").agg(F.sum("w").alias("score"), F.min("place").alias("place"))
+    ordered = scored.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("down"), "place", "term", "score"))).alias("terms"))
+    none = F.array().cast("array<struct<term:string,score:bigint>>")
+    kept = F.aggregate("terms", none, lambda held, x: F.when((F.size(held) >= keep) | F.exists(held, lambda y: F.contains(y["term"], x["term"]) | F.contains(x["term"], y["term"])), held).otherwise(F.array_append(held, F.struct(x["term"].alias("term"), x["score"].alias("score")))))
+    return ordered.select("doc_id", F.posexplode(kept).alias("i", "x")).select("doc_id", "x.term", "x.score", (F.col("i") + 1).alias("rank"))
 
 
 @query(I + """, g as (select doc_id, unnest([{'g': 'policy', 'p': instr(title, 'tion')}, {'g': 'energy', 'p': instr(title, 'th')}, {'g': 'labor', 'p': instr(title, 'ch')}, {'g': 'water', 'p': instr(title, 'eau')}]) as x from items),
