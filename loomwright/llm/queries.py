@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crossentropy, decontaminate, language, lempelziv, media, minhash, mixing, suffixes, tokens, warc
+from . import crossentropy, decontaminate, language, lempelziv, media, minhash, mixing, runs, suffixes, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_members": warc.op1_warc_members,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_token_frames": tokens.op9_token_frames,
     "op10_suffix_dedup": suffixes.op10_suffix_dedup,
+    "op11_periodic_runs": runs.op11_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_pareto_mix": mixing.OP2_SQL}
