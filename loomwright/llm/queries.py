@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crossentropy, decontaminate, fingerprint, language, lempelziv, media, minhash, mixing, runs, suffixes, tokens, warc
+from . import crossentropy, decontaminate, fingerprint, language, lempelziv, media, minhash, mixing, repair, runs, suffixes, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_members": warc.op1_warc_members,
@@ -20,7 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_frames": tokens.op9_token_frames,
     "op10_suffix_dedup": suffixes.op10_suffix_dedup,
     "op11_periodic_runs": runs.op11_periodic_runs,
+    "op12_repair_conversations": repair.op12_repair_conversations,
     "op13_piecewise_fingerprints": fingerprint.op13_piecewise_fingerprints,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_pareto_mix": mixing.OP2_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_pareto_mix": mixing.OP2_SQL, "op12_repair_conversations": repair.OP12_SQL}
