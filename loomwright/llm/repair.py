@@ -169,7 +169,9 @@ def plans(rows: DataFrame, piece: int = PIECE) -> DataFrame:
     """conv_id, cost and audit of the cheapest repair of each conversation in ``rows`` (see :func:`ordered`), and illegal, how many neighbours may not meet."""
     code = F.concat("initial", F.when(F.col("fault").isin("blank", "duplicate"), "d").when(F.col("fault") == "truncated", "t").otherwise("-"))
     listed = F.array_sort(F.collect_list(F.struct("position", code.alias("code"))))
-    pieces = rows.groupBy("conv_id", F.expr(f"position div {piece}").alias("piece")).agg(F.array_join(F.transform(listed, lambda x: x["code"]), "").alias("codes"))
+    # as many tasks as the session's shuffles have: codes are small, deriving them is not
+    dealt = rows.withColumn("piece", F.expr(f"position div {piece}")).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "conv_id", "piece")
+    pieces = dealt.groupBy("conv_id", "piece").agg(F.array_join(F.transform(listed, lambda x: x["code"]), "").alias("codes"))
     moves = by_conversation(rows, "piece long, inner long, ends string, moves array<struct<entered: int, left: int, cost: long, audit: string>>")
     derived = common.over_batches(pieces, lambda: _derived, moves)
     whole = derived.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("piece", "inner", "ends", "moves"))).alias("pieces"))
