@@ -16,7 +16,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or without text, go: no language can be told."""
+    """Documents go that are in no language: without a letter, or most words of which no learned language explains.  A null lang is filled."""
     return language.known_language(docs)
 
 

@@ -9,7 +9,7 @@ languages are fitted, as long as the next one has half a word's share or more, a
 language with the largest share, the score that share.
 
 Null texts, and texts without a letter, are ``und`` with score 0.  Ties of share go to the first language in code-point
-order.  Without labelled rows everything is ``und``.  Repeated rows are counted and predicted each; an
+order.  Without labelled rows everything is ``und``.  Rows without doc_id are predicted like others, with held_out null, and are not learned from.  Repeated rows are counted and predicted each; an
 empty table gives no rows.  Columns other than text, lang and doc_id are ignored, and predictions use the text only.
 """
 
@@ -32,6 +32,8 @@ ROUNDS = 10
 #: Languages whose counts a task holds before it hands them on.
 HELD_LANGUAGES = 256
 UNKNOWN = "und"
+#: Share of words in no learned language above which :func:`known_language` rejects a document.
+MOST_UNKNOWN = 0.5
 
 
 @dataclass
@@ -207,15 +209,34 @@ def predictions(documents: DataFrame) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", F.to_json("languages").alias("languages"))
 
 
-def known_language(documents: DataFrame) -> DataFrame:
-    """Rows of ``documents`` whose language can be told, all columns unchanged; the model learns from all labelled rows."""
-    held = documents.sparkSession.sparkContext.broadcast(fit(documents))
-    column = documents.columns.index("text")
+def with_unknown(model: Model) -> Model:
+    """``model`` with one more language, :data:`UNKNOWN`, that writes all trigrams alike: what no learned language explains better."""
+    flat = np.full((1, model.table.shape[1]), -np.log(model.table.shape[1]), np.float32)
+    return Model([*model.languages, UNKNOWN], np.concatenate([model.table, flat]))
+
+
+def known_language(documents: DataFrame, most_unknown: float = MOST_UNKNOWN) -> DataFrame:
+    """Rows of ``documents`` in a language; the model learns from all labelled rows.
+
+    Each document is a mixture of the learned languages and of :func:`with_unknown`.  Rows without a letter go, and rows in whose mixture
+    more than ``most_unknown`` of the words are in none of the languages.  A null lang becomes the learned language with the largest share; all else is
+    unchanged.  Without any label nothing is learned and nothing goes.
+    """
+    model = fit(documents)
+    if not model.languages:
+        return documents
+    held = documents.sparkSession.sparkContext.broadcast(with_unknown(model))
+    column, lang = documents.columns.index("text"), documents.columns.index("lang")
 
     def work() -> object:
+        m = held.value
+
         def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            for some, _, ok in shares_of(held.value, batch, column):
-                yield some.filter(pa.array(ok))
+            for some, shares, ok in shares_of(m, batch, column):
+                known = shares[:, :-1]
+                told = pa.array([m.languages[k] for k in known.argmax(1)], some.column(lang).type)
+                columns = [pc.coalesce(x, told) if i == lang else x for i, x in enumerate(some.columns)]
+                yield pa.RecordBatch.from_arrays(columns, names=some.schema.names).filter(pa.array(ok & (shares[:, -1] <= most_unknown)))
 
         return run
 
