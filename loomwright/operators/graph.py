@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..storage import staged
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (the smallest node that can be reached) for every node of ``edges`` (two columns of one orderable type).
 
     Large-star and small-star rounds, each one shuffle by node with a map-side minimum: every round hangs a node's larger
@@ -24,7 +24,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
 
     current = staged(pairs.filter("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct())
     known = mark(current)
-    for _ in range(max_rounds):
+    while True:
         # large star: every larger neighbour of a node hangs on the node's smallest neighbour (itself included)
         both = current.select("u", "v").union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         smallest = both.groupBy("u").agg(F.min("v").alias("n")).select("u", F.least("u", "n").alias("m"))
@@ -37,7 +37,5 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         current, before, known = following, known, mark(following)
         if known == before:
             break
-    else:
-        raise RuntimeError(f"components haven't settled after {max_rounds} rounds")
     labels = current.groupBy("u").agg(F.min("v").alias("component"))
     return nodes.join(labels, F.col("x") == F.col("u"), "left").select(F.col("x").alias("node"), F.coalesce("component", "x").alias("component"))

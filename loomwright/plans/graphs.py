@@ -62,15 +62,6 @@ def issue_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return issues.filter("n_orders >= 2 and n_sources >= 2").select(F.col("first.o_orderkey").alias("issue"), "n_orders", "n_sources", F.col("most.n_name").alias("region"))
 
 
-@query()
-def event_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents and the event's first document, by ordered greedy selection on confirmed pairs."""
-    from .joins import pair_score_join
-
-    edges = pair_score_join(spark, sf_dir).filter("state = 'CONFIRMED'").select("a", "b")
-    return S.ordered_greedy(items(spark, sf_dir), "doc_id", edges)
-
-
 @query(I + """ select doc_id, case when contains(title, 'tion') and category = 'en' then 'POLICY' when contains(title, 'tion') then 'REPORT' when length(title) < 30 then 'NOTE' else 'OTHER' end as event_type, source || '-' || category as who, strftime(day, '%Y-%m') as when_ from items""")
 def event_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("title")

@@ -97,20 +97,6 @@ def near_duplicate_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.filter("shared * 100 >= 85 * least(n_a, n_b)").select(F.col("b").alias("doc_id")).distinct()
 
 
-@query(I + f""", {WORDS}, d as (select doc_id, day, title from items), p as (select a.doc_id as a, b.doc_id as b, count(*) as shared from s a join s b on a.w = b.w and a.category = b.category and a.doc_id < b.doc_id group by all),
-f as (select a, b, shared, abs(date_diff('day', x.day, y.day)) as gap, (contains(x.title, 'tion') = contains(y.title, 'tion')) as same from p join d x on a = x.doc_id join d y on b = y.doc_id),
-g as (select a, b, least(5, 2 + shared) + case when gap <= 1 then 1.5 when gap <= 2 then 1.0 when gap > 5 then -2.0 else 0.0 end + case when same then 2 else -3 end as score from f)
-select a, b, score::double as score, case when score >= 7 then 'CONFIRMED' else 'CANDIDATE' end as state from g where score >= 4""")
-def pair_score_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored pairs of one category that share a term: terms, date distance and action; states at 7 and 4."""
-    d = items(spark, sf_dir).select("doc_id", "day", F.col("title").contains("tion").alias("act"))
-    p = S.overlap_pairs(_signatures(spark, sf_dir), "doc_id", "sig", ["category"])
-    j = p.join(d.toDF("a", "day_a", "act_a"), "a").join(d.toDF("b", "day_b", "act_b"), "b")
-    gap = F.abs(F.datediff("day_a", "day_b"))
-    score = F.least(F.lit(5), F.col("shared") + 2) + F.when(gap <= 1, 1.5).when(gap <= 2, 1.0).when(gap > 5, -2.0).otherwise(0.0) + F.when(F.col("act_a") == F.col("act_b"), 2).otherwise(-3)
-    return j.select("a", "b", score.alias("score")).filter("score >= 4").withColumn("state", F.when(F.col("score") >= 7, "CONFIRMED").otherwise("CANDIDATE"))
-
-
 @query(I + f", {GRAMS} select e.a, e.b from e join items x on a = x.doc_id join items y on b = y.doc_id where contains(x.title, 'tion') = contains(y.title, 'tion')")
 def contamination_guard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similar pairs, without those of which exactly one side has the mark."""

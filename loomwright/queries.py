@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import aggregates, filters, graphs, joins, payloads, scalars, series, state, terms, windows  # noqa: F401
+from .plans import aggregates, events, filters, graphs, joins, payloads, scalars, series, state, terms, windows  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
