@@ -102,3 +102,25 @@ def input_fingerprint(df: DataFrame, group: str, columns: Sequence[str]) -> Data
 def stale(checked: Column, now: Column, limit_seconds: int) -> Column:
     """True when the check is older than the limit or unknown."""
     return F.coalesce(F.unix_timestamp(now) - F.unix_timestamp(checked.cast("timestamp")) > limit_seconds, F.lit(True))
+
+
+def dry_run(rows: DataFrame, key: str, column: str, proposed: Column) -> DataFrame:
+    """key, old, new: the rows whose ``column`` would change to ``proposed``; a null proposal changes nothing."""
+    return rows.select(key, F.col(column).alias("old"), proposed.alias("new")).filter(F.col("new").isNotNull() & ~F.col("old").eqNullSafe(F.col("new")))
+
+
+def faulty_changes(rows: DataFrame, changes: DataFrame, key: str, column: str, allowed: Sequence[str]) -> DataFrame:
+    """key, fault of ``changes`` (key, old, new) that can't be applied to ``rows``: UNKNOWN_ROW, STALE (the row has another value than ``old``), NOT_ALLOWED, REPEATED (the key is changed twice)."""
+    held = rows.select(F.col(key).alias("_k"), F.col(column).alias("_now"))
+    times = changes.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).select(F.col(key).alias("_c"), "_n")
+    both = changes.join(times, F.col(key) == F.col("_c")).join(held, F.col(key) == F.col("_k"), "left")
+    fault = F.when(F.col("_k").isNull(), "UNKNOWN_ROW").when(F.col("_n") > 1, "REPEATED").when(~F.col("_now").eqNullSafe(F.col("old")), "STALE").when(~F.col("new").isin(*allowed), "NOT_ALLOWED")
+    return both.select(key, fault.alias("fault")).filter("fault is not null").distinct()
+
+
+def migrate(rows: DataFrame, changes: DataFrame, key: str, column: str, *, back: bool = False) -> DataFrame:
+    """``rows`` with ``changes`` (key, old, new) of ``column`` applied, or rolled back: a row changes only if it has the value that the change starts from, so either may be tried again."""
+    was, to = ("new", "old") if back else ("old", "new")
+    change = changes.select(F.col(key).alias("_k"), F.col(was).alias("_was"), F.col(to).alias("_to"), F.lit(True).alias("_changes"))
+    both = rows.join(change, (F.col(key) == F.col("_k")) & F.col(column).eqNullSafe(F.col("_was")), "left")
+    return both.withColumn(column, F.when(F.col("_changes"), F.col("_to")).otherwise(F.col(column))).select(*rows.columns)

@@ -121,3 +121,44 @@ def series_trend(series: DataFrame, key: str, period: str, value: str) -> DataFr
     a = d.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("_d").alias("_lo"), F.max("_d").alias("_hi"), ((F.max(value) - F.min(value)).cast("double") / F.avg(F.col(value).cast("double"))).alias("_s"))
     trend = F.when(F.col("n") < 4, "INSUFFICIENT").when(F.col("_lo") > 0, "INCREASING").when(F.col("_hi") < 0, "DECREASING").when(F.col("_s") > 0.3, "VOLATILE").when(F.col("_s") < 0.05, "STABLE").otherwise("NO_SIGNAL")
     return a.select(key, "n", trend.alias("trend"))
+
+
+def halve_to_budget(rows: DataFrame, keys: Sequence[str], field: str, order: Sequence[str], size: str, fields: Sequence[str], budget: int) -> DataFrame:
+    """keys, how many rows of each of ``fields`` stay, total (their size), over_budget, truncated (``field:halvings`` of those cut, comma-joined).
+
+    While the sizes of a key's rows exceed ``budget``, the list of the first field (its rows in ``order``) with more than one row is cut to its first half, rounded down;
+    a list of one row is left and the next field's turn comes.  Other fields count nothing.
+
+    A list of n rows can only get n, n / 2, n / 4, ... rows, so sizes are summed by the last halving that a row survives: some 40 numbers a list, however
+    long it is.  A field's lists before it are then at one row and those after it whole, which gives its halvings at once.
+    """
+    listed = Window.partitionBy(*keys, field)
+    numbered = rows.filter(F.col(field).isin(*fields)).select(*keys, field, F.col(size).cast("long").alias("_s"), F.row_number().over(listed.orderBy(*order)).alias("_r"))
+    counted = numbered.join(numbered.groupBy(*keys, field).agg(F.max("_r").alias("_n")).select(*(F.col(k).alias(f"_{k}") for k in keys), F.col(field).alias("_f"), "_n"), [*(F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys), F.col(field) == F.col("_f")])
+    # row r survives k halvings of n rows if n div r is 2 ** k or more
+    by_level = counted.withColumn("_l", F.length(F.bin(F.expr("_n div _r"))) - 1).groupBy(*keys, field, "_n", "_l").agg(F.sum("_s").alias("_s"))
+    lists = by_level.groupBy(*keys, field, "_n").agg(F.collect_list(F.struct("_l", "_s")).alias("_levels"))
+    sized = lists.groupBy(*keys).agg(*(F.max(F.when(F.col(field) == f, F.struct("_n", "_levels"))).alias(f"_{i}") for i, f in enumerate(fields)))
+    numbers = range(len(fields))
+
+    def kept(i: int, halvings: Column) -> Column:
+        """Size of the rows of a list after some halvings."""
+        levels = F.filter(F.col(f"_{i}._levels"), lambda x: x["_l"] >= halvings)
+        return F.coalesce(F.aggregate(levels, F.lit(0).cast("long"), lambda total, x: total + x["_s"]), F.lit(0).cast("long"))
+
+    n = [F.coalesce(F.col(f"_{i}._n"), F.lit(0)) for i in numbers]
+    most = [F.when(n[i] > 1, F.length(F.bin(n[i])) - 1).otherwise(0) for i in numbers]
+    sized = sized.select("*", *(kept(i, F.lit(0)).alias(f"_all{i}") for i in numbers), *(kept(i, most[i]).alias(f"_one{i}") for i in numbers), *(most[i].alias(f"_most{i}") for i in numbers))
+    for i in numbers:
+        rest = sum((F.col(f"_one{j}" if j < i else f"_all{j}") for j in numbers if j != i), F.lit(0).cast("long"))
+        fitting = F.array_min(F.filter(F.sequence(F.lit(0), F.col(f"_most{i}")), _within(kept, i, rest, budget)))
+        sized = sized.withColumn(f"_h{i}", F.coalesce(fitting, F.col(f"_most{i}")))
+    left = [F.floor(n[i] / F.pow(F.lit(2.0), F.col(f"_h{i}"))).cast("long") for i in numbers]
+    total = sum((kept(i, F.col(f"_h{i}")) for i in numbers), F.lit(0).cast("long"))
+    cut = F.array_join(F.array_compact(F.array(*(F.when(F.col(f"_h{i}") > 0, F.concat(F.lit(f"{f}:"), F.col(f"_h{i}").cast("string"))) for i, f in enumerate(fields)))), ",")
+    return sized.select(*keys, *(x.alias(f) for x, f in zip(left, fields, strict=True)), total.alias("total"), (total > budget).alias("over_budget"), cut.alias("truncated"))
+
+
+def _within(kept: Callable[[int, Column], Column], i: int, rest: Column, budget: int) -> Callable[[Column], Column]:
+    """Whether a number of halvings of list ``i`` makes all fit."""
+    return lambda halvings: kept(i, halvings) + rest <= budget

@@ -8,20 +8,25 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import similarity as S
 from ..operators.graph import connected_components
+from ..operators.mentions import families, mentions
 from ..registry import ITEMS_SQL, query
 from ..sources.tables import items, table
-from .joins import WORDS, _signatures
+from .joins import MENTIONS_SQL, WORDS, _signatures, pages_as_rows
 
 I = f"with {ITEMS_SQL}"  # noqa: E741
 
 
-@query(r"""with recursive k as (select distinct page_id as n, 'h' || regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)), '^(www|m|blog)\.', '') as h from pages), c as (select n, min(n) over (partition by h) as family from k) select n as page_id, family from c""".replace("with recursive k", "with k"))
+@query(f"""with recursive {MENTIONS_SQL}, ky as (select page_id as id, regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www\\.|:[0-9]+$', ''), '^(www|m|blog)\\.', '') as host, sha1(html) as content,
+  lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)) || regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '') as bare from pages),
+ed as (select id as a, min(id) over (partition by host) as b from ky where host <> '' union select id, min(id) over (partition by content) from ky union select id, min(id) over (partition by bare) from ky where host <> '' union select id, target from mn),
+bo as (select a, b from ed union select b, a from ed), re as (select a as node, a as seen from bo union select b, seen from re join bo on node = a), fa as (select node as id, min(seen) as family from re group by 1),
+sh as (select family from fa join ky using (id) group by family, bare having count(*) > 1 union select family from fa join ky using (id) group by family, content having count(*) > 1),
+si as (select family, count(*) as size from fa group by 1)
+select id as page_id, family, size, case when family in (select family from sh) then 'SHARED_ORIGIN' when size > 1 then 'DERIVED_FROM_SAME_SOURCE' else 'INDEPENDENT' end as status from fa join si using (family)""")
 def evidence_families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages that share a host, labelled by its smallest page: one minimum per host, joined back, so a host never makes pairs of its pages; pages without URL are one family."""
-    host = F.regexp_replace(F.lower(F.regexp_extract("url", "^[A-Za-z]+://([^/?#:]*)", 1)), r"^(www|m|blog)\.", "")
-    of = table(spark, sf_dir, "pages").select("page_id", host.alias("host"))
-    first = of.groupBy(F.col("host").alias("h")).agg(F.min("page_id").alias("family"))
-    return of.distinct().join(first, F.col("host").eqNullSafe(F.col("h"))).select("page_id", "family")
+    """Pages of one origin: equal content, URL or host, or one that mentions another."""
+    rows = pages_as_rows(spark, sf_dir)
+    return families(rows, mentions(rows)).withColumnRenamed("id", "page_id")
 
 
 @query(I.replace("with ", "with recursive ", 1) + f""", {WORDS}, p as (select a.doc_id as a, b.doc_id as b, count(*) as shared from s a join s b on a.w = b.w and a.doc_id < b.doc_id group by all), e as (select a, b from p join n x on a = x.doc_id join n y on b = y.doc_id where shared * 2 >= x.n + y.n - shared),

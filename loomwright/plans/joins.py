@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import similarity as S
+from ..operators.mentions import mentions
 from ..registry import ITEMS_SQL, query
 from ..sources.tables import items, table
 from .scalars import KEY_SQL
@@ -121,18 +122,24 @@ def identifier_resolution_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("l_orderkey", "l_linenumber", state.alias("resolution"))
 
 
-@query("""with l as (select distinct a.page_id, b.page_id as target from (select page_id, unnest(regexp_extract_all(html, 'href="/([a-zA-Z]+)"', 1)) as w from pages) a join (select page_id, regexp_extract(html, '<title>([A-Za-z]+)', 1) as w from pages) b using (w))
-select page_id, min(target) as target, 0.95 as confidence from l where page_id <> target group by page_id""")
+def pages_as_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, url, title, text, primary, content: pages, of which those of ``.org`` hosts are sources of their own."""
+    text = F.regexp_replace("html", "<[^>]*>", " ")
+    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"), text.alias("text"), X.url_host(F.col("url")).endswith(".org").alias("primary"), F.col("html").alias("content"))
+
+
+WORD = r"[\p{L}\p{N}]+"
+#: Titles are looked up in all texts; the given pages hold no absolute URL, so that leg has tests of its own.
+MENTIONS_SQL = rf"""pg as (select page_id as id, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) as host, regexp_replace(split_part(url, '?', 1), '/+$', '') as bare, array_to_string(regexp_extract_all(lower(regexp_extract(html, '<title>(.*?)</title>', 1, 's')), '{WORD}'), ' ') as title,
+  ' ' || array_to_string(regexp_extract_all(lower(regexp_replace(html, '<[^>]*>', ' ', 'g')), '{WORD}'), ' ') || ' ' as said from pages),
+kn as (select * from pg where host like '%.org'), st as (select min(id) as id from kn group by bare), ti as (select title, min(id) as target from kn where length(title) >= 12 group by title),
+mn as (select pg.id, min(target) as target from pg join ti on pg.id <> target and contains(said, ' ' || ti.title || ' ') where pg.id not in (select id from st) group by pg.id)"""
+
+
+@query(f"with {MENTIONS_SQL} select id as page_id, target, 'TITLE' as method, 0.85::double as confidence from mn")
 def url_or_title_mention_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first page whose title's first word another page links to."""
-    p = table(spark, sf_dir, "pages")
-    said = p.select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="/([a-zA-Z]+)"'), 1))).alias("w"))
-    known = p.select(F.col("page_id").alias("target"), F.regexp_extract("html", "<title>([A-Za-z]+)", 1).alias("w"))
-    # the smallest target of a word, or the next one where that is the page itself: a row per word, however many pages have it
-    first = known.groupBy("w").agg(F.min("target").alias("first"))
-    second = known.join(first, "w").filter("target <> first").groupBy("w").agg(F.min("target").alias("second"))
-    best = said.join(first.join(second, "w", "left"), "w").select("page_id", F.when(F.col("first") != F.col("page_id"), F.col("first")).otherwise(F.col("second")).alias("target"))
-    return best.filter("target is not null").groupBy("page_id").agg(F.min("target").alias("target")).withColumn("confidence", F.lit(0.95))
+    """The first source page that each other page mentions, by URL or else by its whole title."""
+    return mentions(pages_as_rows(spark, sf_dir)).withColumnRenamed("id", "page_id")
 
 
 @query(I + f""", {WORDS}, t as (select doc_id from items where source = 'src1'), p as (select a.doc_id, b.doc_id as m, count(*) as shared from s a join s b on a.w = b.w and a.doc_id <> b.doc_id where b.doc_id in (select doc_id from t) group by all)

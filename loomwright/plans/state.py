@@ -130,10 +130,18 @@ def series_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.merge(held, incoming, ["indicator", "geography"], {"observations": "new", "n": "new", "admitted": "keep"})
 
 
-@query("""select doc_id, lang as old, case when source = 'src2' then 'research' else lang end as new from documents""")
+@query("""with c as (select doc_id, lang as old, 'research' as new from documents where source = 'src2' and lang is distinct from 'research'), a as (select d.doc_id, coalesce(c.new, d.lang) as lang, c.old, c.new from documents d left join c using (doc_id))
+select lang as category, count(*) as n, count(new) as changed, count(*) filter (new is not null and old is not null) as restored, 0 as faults from a group by lang""")
 def category_migration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Old and new category; applying takes the new column, rolling back the old one."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("old"), F.when(F.col("source") == "src2", "research").otherwise(F.col("lang")).alias("new"))
+    """Documents by category after a migration; changed by it, restored by its roll back, and faults of the changes."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    changes = T.dry_run(documents, "doc_id", "lang", F.when(F.col("source") == "src2", F.lit("research")))
+    applied = T.migrate(documents, changes, "doc_id", "lang")
+    restored = T.migrate(applied, changes, "doc_id", "lang", back=True).select("doc_id", F.col("lang").alias("again"))
+    both = applied.join(changes, "doc_id", "left").join(restored, "doc_id")
+    found = both.groupBy(F.col("lang").alias("category")).agg(F.count(F.lit(1)).alias("n"), F.count("new").alias("changed"), F.count_if(F.col("new").isNotNull() & F.col("again").eqNullSafe(F.col("old")) & F.col("old").isNotNull()).alias("restored"))
+    faults = T.faulty_changes(documents, changes, "doc_id", "lang", ["research"]).agg(F.count(F.lit(1)).alias("faults"))
+    return found.crossJoin(F.broadcast(faults))
 
 
 @query("select event_type, (ts + interval 9 hours)::date as day, count(*) as n from events group by all")

@@ -107,14 +107,19 @@ def score_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").filter("value >= 40").select("event_id", F.when(F.col("value") >= 60, "HIGH_REVIEW").otherwise("LOW_CONFIDENCE").alias("bucket"))
 
 
-@query("""with t as (select conv_id, turn, length(text) as n, sum(length(text)) over (partition by conv_id order by turn) as upto, row_number() over (partition by conv_id, role order by turn) as k from conversations) select conv_id, turn from t where upto <= 2000 or k = 1""")
-def budget_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns while a conversation fits its budget, and the first of each role."""
-    from pyspark.sql import Window
+FIELDS, BUDGET, CHARACTERS = ("system", "user", "assistant"), 200, 4
+
 
-    upto = F.sum(F.length("text")).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0))
-    k = F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("turn"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", upto.alias("upto"), k.alias("k")).filter("upto <= 2000 or k = 1").select("conv_id", "turn")
+@query(f"""with recursive c as (select conv_id, {", ".join(f"list(coalesce(length(text), 0) order by turn) filter (role = '{r}') as f{i}" for i, r in enumerate(FIELDS))} from conversations where role in {FIELDS} group by conv_id),
+s as (select conv_id, {", ".join(f"coalesce(f{i}, []) as f{i}" for i in range(3))}, 0 as i, 0 as h0, 0 as h1, 0 as h2 from c union all
+  select conv_id, {", ".join(f"case when i = {i} and len(f{i}) > 1 then f{i}[1:greatest(1, len(f{i}) // 2)] else f{i} end" for i in range(3))}, case when len([f0, f1, f2][i + 1]) <= 1 then i + 1 else i end,
+    {", ".join(f"h{i} + cast(i = {i} and len(f{i}) > 1 as int)" for i in range(3))} from s where i < 3 and (coalesce(list_sum(f0), 0) + coalesce(list_sum(f1), 0) + coalesce(list_sum(f2), 0)) // {CHARACTERS} > {BUDGET}),
+e as (select *, (coalesce(list_sum(f0), 0) + coalesce(list_sum(f1), 0) + coalesce(list_sum(f2), 0)) // {CHARACTERS} as tokens, row_number() over (partition by conv_id order by i desc, h0 + h1 + h2 desc) as k from s)
+select conv_id, len(f0)::bigint as system, len(f1)::bigint as "user", len(f2)::bigint as assistant, tokens::bigint as tokens, tokens > {BUDGET} as over_budget, concat_ws(',', {", ".join(f"case when h{i} > 0 then '{r}:' || h{i} end" for i, r in enumerate(FIELDS))}) as truncated from e where k = 1""")
+def budget_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of each role that a conversation keeps within its budget of tokens: lists are halved, role by role, while it is exceeded."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("role").alias("field"), "turn", F.coalesce(F.length("text"), F.lit(0)).alias("size"))
+    return W.halve_to_budget(rows, ["conv_id"], "field", ["turn"], "size", FIELDS, BUDGET * CHARACTERS + CHARACTERS - 1).withColumn("tokens", F.expr(f"total div {CHARACTERS}")).drop("total").select("conv_id", *FIELDS, "tokens", "over_budget", "truncated")
 
 
 @query(I + """, u as (select 0 as o, doc_id, sha1(body) as h, source from items where doc_id % 2 = 0 union all select 1, doc_id, sha1(body), source from items), r as (select *, row_number() over (partition by h order by o, doc_id) as k from u) select doc_id, h, source from r where k = 1""")
