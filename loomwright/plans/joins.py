@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import similarity as S
+from ..operators.contradictions import claim_classes, contradictions, counters
 from ..operators.mentions import mentions
 from ..registry import ITEMS_SQL, query
 from ..sources.tables import items, table
@@ -198,22 +199,49 @@ def cross_domain_self_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(d.select("user_id", F.col("d1").alias("d2"), F.col("n1").alias("n2")), "user_id").filter("d1 < d2").select("user_id", "d1", "d2", (F.col("n1") + F.col("n2")).alias("n"))
 
 
-OPPOSING = "c as (select event_id, user_id, ts::date as day, event_type, value from events where event_type in ('purchase', 'error') and value > 25)"
+CLAIMS = """c as (select event_id, user_id, event_type = 'purchase' as polarity, case when value >= 60 then 'high' when value >= 30 then 'middle' end as population, case when dayofweek(ts) in (0, 6) then 'weekend' end as place,
+  list_filter([case when k < 40 then 'low' end, case when k between 20 and 60 then 'mid' end, case when k > 50 then 'top' end], lambda d: d is not null) as domains, ts::date as day
+  from (select *, cast(json_extract(props, '$.k') as int) as k from events where event_type in ('purchase', 'error') and value > 25))"""
 
 
-@query(f"with {OPPOSING} select a.event_id as a, b.event_id as b, case when a.day = b.day and abs(a.value - b.value) < 5 then 'DIRECT' when a.day = b.day then 'CONTEXT_DEPENDENT' else 'TENSION' end as verdict from c a join c b on a.user_id = b.user_id and a.event_id < b.event_id and a.event_type <> b.event_type")
+@query(f"""with {CLAIMS}, p as (select a.event_id, count(*) filter (v = 'D') as n_direct, count(*) filter (v = 'C') as n_context, count(*) filter (v = 'T') as n_tension, count(*) filter (near) as n_near from (
+  select a.event_id, case when a.population is distinct from b.population or a.place is distinct from b.place then 'C' when list_has_any(a.domains, b.domains) or (len(a.domains) = 0 and len(b.domains) = 0) then 'D' else 'T' end as v, abs(date_diff('day', a.day, b.day)) <= 3 as near
+  from c a join c b on a.user_id = b.user_id and a.polarity <> b.polarity) a group by 1),
+k as (select min(event_id) as event_id, count(*) as n from c group by user_id, polarity, population, place, domains, day)
+select event_id, n, coalesce(n_direct, 0) as n_direct, coalesce(n_context, 0) as n_context, coalesce(n_tension, 0) as n_tension, coalesce(n_near, 0) as n_near, case when coalesce(n_direct, 0) > 0 then 'CONTRADICTORY' else 'SUPPORTING' end as support_type from k left join p using (event_id)""")
 def opposing_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "events").filter("event_type in ('purchase', 'error') and value > 25").select("user_id", F.col("event_id").alias("a"), F.to_date("ts").alias("da"), F.col("event_type").alias("ka"), F.col("value").alias("va"))
-    o = c.toDF("user_id", "b", "db", "kb", "vb")
-    same = F.col("da") == F.col("db")
-    return c.join(o, "user_id").filter("a < b and ka <> kb").select("a", "b", X.first_match([("DIRECT", same & (F.abs(F.col("va") - F.col("vb")) < 5)), ("CONTEXT_DEPENDENT", same)], "TENSION").alias("verdict"))
-
-
-@query("""with c as (select p_partkey as id, p_brand as dim, p_type as scope, case when p_retailprice > 950 then 'UP' when p_retailprice < 920 then 'DOWN' end as dir, p_size from part) select a.id as a, b.id as b, case when a.p_size = b.p_size then 'DIRECT_CONTRADICTION' else 'CONTEXT_DEPENDENT' end as verdict from c a join c b on a.dim = b.dim and a.scope = b.scope and a.id < b.id and a.dir <> b.dir""")
+    """Classes of equal claims, by their first one, with how many claims of the same user with the other polarity stand against each, by verdict."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    domains = F.array_compact(F.array(F.when(k < 40, "low"), F.when(k.between(20, 60), "mid"), F.when(k > 50, "top")))
+    claims = table(spark, sf_dir, "events").filter("event_type in ('purchase', 'error') and value > 25").select(
+        "event_id", F.col("user_id").alias("subject"), (F.col("event_type") == "purchase").alias("polarity"), F.when(F.col("value") >= 60, "high").when(F.col("value") >= 30, "middle").alias("population"),
+        F.when(F.dayofweek("ts").isin(1, 7), "weekend").alias("place"), domains.alias("domains"), F.to_date("ts").alias("day"),
+    )
+    found = counters(claim_classes(claims, "event_id", claims.columns[1:]), "event_id", days=3)
+    return found.select("event_id", "n", "n_direct", "n_context", "n_tension", "n_near", F.when(F.col("n_direct") > 0, "CONTRADICTORY").otherwise("SUPPORTING").alias("support_type"))
+
+
+PARADOXES = (("Brand#1", "Brand#2"), ("Brand#3", "Brand#4"), ("Brand#5", "Brand#6"))
+PARTS = """c as (select p_partkey, case when p_size > 4 then p_brand end as dimension, case when p_retailprice > 950 then 'UP' when p_retailprice < 920 then 'DOWN' end as direction, p_type as subject,
+  case when p_size > 20 then p_size // 10 end as domain, case when p_name not like 'small%' then split_part(p_name, ' ', 2) end as population, case when p_size < 40 then p_size // 20 end as period from part)"""
+_DIFFER = {f: f"(a.{f} <> b.{f})" for f in ("subject", "domain", "population", "period")}
+_KNOWN_DIFFER = " or ".join(f"coalesce({x}, false)" for x in _DIFFER.values())
+
+
+@query(f"""with {PARTS}, v as (select a.p_partkey, case when a.dimension <> b.dimension then case when ({" or ".join(f"(a.dimension = '{x}' and b.dimension = '{y}')" for p in PARADOXES for x, y in (p, p[::-1]))}) and not ({_KNOWN_DIFFER}) then 'paradox' else 'tension' end
+  when a.direction <> b.direction then case when coalesce({_DIFFER["period"]}, false) then 'reversal' when coalesce({_DIFFER["domain"]}, false) or coalesce({_DIFFER["population"]}, false) then 'none' when {" and ".join(f"coalesce(a.{f} = b.{f}, false)" for f in _DIFFER)} then 'direct' else 'context' end end as v
+  from c a join c b on a.dimension is not null and b.dimension is not null), p as (select p_partkey, {", ".join(f"count(*) filter (v = '{x}') as n_{x}" for x in ("reversal", "none", "direct", "context", "paradox", "tension"))} from v group by 1),
+k as (select min(p_partkey) as p_partkey, count(*) as n from c group by dimension, direction, subject, domain, population, period)
+select p_partkey, n, {", ".join(f"coalesce(n_{x}, 0) as n_{x}" for x in ("reversal", "none", "direct", "context", "paradox", "tension"))} from k left join p using (p_partkey)""")
 def contradiction_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Opposite directions in one dimension and scope; a null direction is unknown and contradicts nothing."""
-    c = table(spark, sf_dir, "part").select(F.col("p_brand").alias("dim"), F.col("p_type").alias("scope"), F.col("p_partkey").alias("a"), F.when(F.col("p_retailprice") > 950, "UP").when(F.col("p_retailprice") < 920, "DOWN").alias("da"), F.col("p_size").alias("sa"))
-    return c.join(c.toDF("dim", "scope", "b", "db", "sb"), ["dim", "scope"]).filter("a < b and da <> db").select("a", "b", F.when(F.col("sa") == F.col("sb"), "DIRECT_CONTRADICTION").otherwise("CONTEXT_DEPENDENT").alias("verdict"))
+    """Classes of equal claims, by their first one, with how many claims contradict each, directly or in part, or stand in tension or paradox with it."""
+    size = F.col("p_size")
+    claims = table(spark, sf_dir, "part").select(
+        "p_partkey", F.when(size > 4, F.col("p_brand")).alias("dimension"), F.when(F.col("p_retailprice") > 950, "UP").when(F.col("p_retailprice") < 920, "DOWN").alias("direction"), F.col("p_type").alias("subject"),
+        F.when(size > 20, F.floor(size / 10)).alias("domain"), F.when(~F.col("p_name").startswith("small"), F.split_part("p_name", F.lit(" "), F.lit(2))).alias("population"), F.when(size < 40, F.floor(size / 20)).alias("period"),
+    )
+    found = contradictions(claim_classes(claims, "p_partkey", claims.columns[1:]), "p_partkey", opposites={"UP": "DOWN", "DOWN": "UP"}, paradoxes=PARADOXES, time="period", guards=["domain", "population"], scope=["subject", "domain", "population", "period"])
+    return found.select("p_partkey", "n", *(f"n_{x}" for x in ("reversal", "none", "direct", "context", "paradox", "tension")))
 
 
 @query("""select l_orderkey, s.l_suppkey as controller, count(*) as n_support from (select distinct l_orderkey, l_suppkey from lineitem where l_returnflag = 'R') s join (select l_orderkey, l_suppkey, l_linenumber from lineitem where l_returnflag <> 'R') t on s.l_orderkey = t.l_orderkey and s.l_suppkey = t.l_suppkey group by all""".replace("select l_orderkey, s.l_suppkey", "select s.l_orderkey, s.l_suppkey"))
