@@ -6,6 +6,7 @@ Null in gives null out unless a docstring says otherwise.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from html.entities import name2codepoint
 
@@ -19,7 +20,13 @@ ENTITY = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 #: Hours from UTC of the zone names of mail dates.
 ZONES = {"Z": 0, "UT": 0, "UTC": 0, "GMT": 0, "EST": -5, "EDT": -4, "CST": -6, "CDT": -5, "MST": -7, "MDT": -6, "PST": -8, "PDT": -7}
 SPACES = r"[ \t\n\x0B\f\r\u00A0\u3000]+"
-BRACKETS = r"^(\s*(\[[^\]]{1,12}\]|【[^】]{1,12}】|\([^)]{1,8}\))\s*)+"
+#: Closing mark and most characters of the tags that may lead a title, by opening mark.
+TAGS = {"[": ("]", 12), "【": ("】", 12), "(": (")", 8)}
+#: Any number of tags at the beginning, one alternative for each kind.
+BRACKETS = r"^\s*(?:(?:" + "|".join(f"{re.escape(start)}[^{re.escape(end)}]{{1,{most}}}{re.escape(end)}" for start, (end, most) in TAGS.items()) + r")\s*)+"
+#: What a preprint feed puts before an abstract, each label but the last with one word of its own.
+PREPRINT_LABELS = ("arXiv:", "Announce Type:", "Abstract:")
+PREPRINT = r"(?i)^{}\S+\s{}\s?\S+(?:\s{})?(?:\s|$)".format(*PREPRINT_LABELS)
 ORDINALS = ("LOW", "MEDIUM", "HIGH")
 
 
@@ -44,7 +51,7 @@ def clean_text(raw: Column) -> Column:
     out = F.regexp_replace(unescape(raw), "(?s)<!--.*?(-->|$)", " ")
     out = unescape(F.regexp_replace(out, "<[^>]+>", " "))
     out = F.trim(F.regexp_replace(out, SPACES, " "))
-    return F.regexp_replace(out, r"(?i)^arXiv:\S+ Announce Type: ?\S+ ?(Abstract:)? ?", "")
+    return F.regexp_replace(out, PREPRINT, "")
 
 
 def parse_published(text: Column, now: Column, default_offset_hours: int = 0) -> Column:

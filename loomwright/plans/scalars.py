@@ -30,7 +30,7 @@ SPACES_SQL = r"[ \t\n\x0B\f\r\x{A0}\x{3000}]+"
 @query(f"""
 with first as (select page_id, {unescape_sql("html")} as t from pages), bare as (select page_id, regexp_replace(regexp_replace(t, '(?s)<!--.*?(-->|$)', ' ', 'g'), '<[^>]+>', ' ', 'g') as t from first),
 second as (select page_id, {unescape_sql("t")} as t from bare)
-select page_id, regexp_replace(trim(regexp_replace(t, '{SPACES_SQL}', ' ', 'g')), '(?i)^arXiv:\\S+ Announce Type: ?\\S+ ?(Abstract:)? ?', '') as cleaned from second
+select page_id, regexp_replace(trim(regexp_replace(t, '{SPACES_SQL}', ' ', 'g')), '{X.PREPRINT}', '') as cleaned from second
 """)
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", X.clean_text(F.col("html")).alias("cleaned"))

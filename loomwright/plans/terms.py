@@ -22,7 +22,10 @@ STOP = ("about", "after", "their", "there", "these", "those", "where", "which",
 #: Weights of a word of the title and of the text, and of a quoted phrase of the title (2 to 14 characters, 3 words at most), which comes first by place.
 TITLE, BODY, QUOTED, WORDS_OF_A_PHRASE = 3, 1, 6, 3
 LETTERS = r"[\p{L}]{5,}"
-PHRASE = """[‘'"“]([^’'"”]{2,14})[’'"”]"""
+#: Marks that open and close a quotation, in pairs, and the fewest and most characters between them.
+MARKS, QUOTED_LENGTHS = {"'": "'", '"': '"', "‘": "’", "“": "”"}, (2, 14)
+#: Any opening mark, no closing one, and any closing mark.
+PHRASE = "[{}]([^{}]{{{},{}}})[{}]".format("".join(MARKS), "".join(MARKS.values()), *QUOTED_LENGTHS, "".join(MARKS.values()))
 PHRASE_SQL = PHRASE.replace("'", "''")
 
 
