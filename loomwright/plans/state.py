@@ -131,7 +131,7 @@ def series_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with c as (select doc_id, lang as old, 'research' as new from documents where source = 'src2' and lang is distinct from 'research'), a as (select d.doc_id, coalesce(c.new, d.lang) as lang, c.old, c.new from documents d left join c using (doc_id))
-select lang as category, count(*) as n, count(new) as changed, count(*) filter (new is not null and old is not null) as restored, 0 as faults from a group by lang""")
+select lang as category, count(*) as n, count(new) as changed, count(*) filter (new is not null and old is not null) as restored, 0::bigint as faults from a group by lang""")
 def category_migration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by category after a migration; changed by it, restored by its roll back, and faults of the changes."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
