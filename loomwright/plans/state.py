@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import state as T
+from ..operators.memory import memory_dedupe
 from ..registry import ITEMS_SQL, query
 from ..sources.tables import items, table
+from ..storage import shared_dir
+from ..streaming import batches as B
+from .scalars import KEY_SQL
 
 I = f"with {ITEMS_SQL}"  # noqa: E741
 WEEKS = "a as (select user_id, count(*) as n, count(distinct event_type) as kinds, count(*) filter (event_type = 'error') as bad from events where ts >= timestamp '2024-01-08' and ts < timestamp '2024-01-10' group by 1), b as (select user_id, count(*) as n, count(distinct event_type) as kinds, count(*) filter (event_type = 'error') as bad from events where ts >= timestamp '2024-01-10' and ts < timestamp '2024-01-12' group by 1)"
@@ -167,8 +171,34 @@ def stream_dedupe_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("user_id", "event_type", F.date_trunc("hour", "ts").alias("h")).agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id")).select("event_id")
 
 
-@query("select event_id, case when ts < timestamp '2024-01-28 12:00:00' then 'BACKFILL' else 'LIVE' end as path from events where ts >= timestamp '2024-01-28 12:00:00' or ts::date between date '2024-01-05' and date '2024-01-09'")
+@query(f"""with recursive {ITEMS_SQL}, k as (select doc_id, day, dense_rank() over (order by sha1(body)) as x, dense_rank() over (order by {KEY_SQL}) as y from items),
+o as (select *, row_number() over (order by day, doc_id) as i from k),
+r as (select 0::bigint as i, []::struct(x bigint, y bigint, day date, doc_id bigint)[] as kept union all
+  select o.i, case when len(list_filter(r.kept, lambda m: (m.x = o.x or m.y = o.y) and o.day - m.day <= 7)) > 0 then r.kept else list_append(r.kept, {{'x': o.x, 'y': o.y, 'day': o.day, 'doc_id': o.doc_id}}) end from r join o on o.i = r.i + 1),
+z as (select unnest(kept) as m from (select kept from r order by i desc limit 1)) select m.doc_id as doc_id, m.day as day from z""")
+def stream_dedupe_7d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that neither in content nor in title repeat one kept within seven days; one that goes is not remembered.  ``streaming.batches.dedupe_batch`` is the stream's form."""
+    rows = items(spark, sf_dir).select("doc_id", F.sha1("body").alias("content"), X.title_key(F.col("title")).alias("key"), F.datediff("day", F.lit("1970-01-01").cast("date")).alias("at"))
+    kept = memory_dedupe(rows, ["content", "key"], "at", "doc_id", 7)
+    return kept.select("doc_id", F.date_add(F.lit("1970-01-01").cast("date"), F.col("at").cast("int")).alias("day"))
+
+
+@query("""with a as (select event_id, ts::date as day, event_id % 5 <= 1 as live from events)
+select event_id, day, case when live then 'LIVE' else 'BACKFILL' end as path from a where live or day between date '2024-01-05' and date '2024-01-09'""")
 def late_data_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as they arrive up to four days late: those of 36 hours or less are merged live; a closed range of old days is read again and merged into these days, here twice, as after a failure."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    arrived = e.withColumn("seen", F.col("ts") + F.make_dt_interval(F.col("event_id") % 5)).withColumn("day", F.to_date("ts"))
+    live, _ = B.split_late(arrived, "ts", "seen")
+    path = shared_dir(spark)
+    B.merge_batch(live, 0, path, "event_id", "day", "seen")
+    for _ in range(2):
+        B.merge_batch(arrived.filter(F.col("day").between("2024-01-05", "2024-01-09")), 1, path, "event_id", "day", "seen")
+    return B.merged(spark, path, arrived.schema, "day").select("event_id", "day", F.when(F.col("batch") == 0, "LIVE").otherwise("BACKFILL").alias("path"))
+
+
+@query("select event_id, case when ts < timestamp '2024-01-28 12:00:00' then 'BACKFILL' else 'LIVE' end as path from events where ts >= timestamp '2024-01-28 12:00:00' or ts::date between date '2024-01-05' and date '2024-01-09'")
+def late_data_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """36 hours are live; a closed range of older days is read again as backfill."""
     e = table(spark, sf_dir, "events")
     live = F.col("ts") >= "2024-01-28 12:00:00"
