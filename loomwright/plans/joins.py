@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import similarity as S
 from ..operators.contradictions import claim_classes, contradictions, counters
+from ..operators.matching import interval_stars
 from ..operators.mentions import mentions
 from ..registry import ITEMS_SQL, query
 from ..sources.tables import items, table
-from .scalars import KEY_SQL
+from .scalars import KEY_SQL, WHOLE_KEY_SQL
 
 I = f"with {ITEMS_SQL}"  # noqa: E741
 
@@ -86,12 +87,34 @@ def _signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(I + f", {WORDS} select a.doc_id as a, b.doc_id as b, count(*) as shared from s a join s b on a.w = b.w and a.doc_id < b.doc_id join n x on a.doc_id = x.doc_id join n y on b.doc_id = y.doc_id where x.n >= 4 and y.n >= 4 group by a.doc_id, b.doc_id, x.n, y.n having count(*) >= 3 and 2 * count(*) >= least(x.n, y.n)")
-def same_story_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+def same_story_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs that share three content words and half of the smaller set."""
     found = S.overlap_pairs(_signatures(spark, sf_dir).filter(F.size("sig") >= 4), "doc_id", "sig", percent=50, least=3)
     return found.filter("2 * shared >= least(n_a, n_b)").select("a", "b", F.col("shared").cast("long").alias("shared"))
 
 
+#: A name is a word that begins with a capital wherever it stands in a title.
+STORY_SQL = rf"""{WORDS}, na as (select lower(x) as w from (select unnest(regexp_extract_all(title, '[\p{{L}}\p{{N}}]+')) as x from items) group by 1 having bool_and(x <> lower(x))),
+p as (select a.doc_id as a, b.doc_id as b from s a join s b on a.w = b.w and a.doc_id <> b.doc_id left join na on a.w = na.w join n x on a.doc_id = x.doc_id join n y on b.doc_id = y.doc_id where x.n >= 4 and y.n >= 4 group by a.doc_id, b.doc_id, x.n, y.n having count(*) >= 3 and 2 * count(*) >= least(x.n, y.n) and count(*) > count(na.w)),
+o as (select doc_id, day < date '2024-01-15' as held, day >= date '2024-01-15' and source = 'src3' as pinned, row_number() over (order by day >= date '2024-01-15', day, doc_id) as i, row_number() over (partition by day < date '2024-01-15' order by day, doc_id) as j from items),
+e as (select b.i, min(a.i) filter (a.held) as h, coalesce(list(a.i) filter (not a.held), []) as nb from p join o a on p.a = a.doc_id join o b on p.b = b.doc_id where not b.held and not b.pinned and not a.pinned and a.i < b.i group by b.i),
+q as (select o.doc_id, o.i, o.j, o.pinned, e.h, coalesce(e.nb, []) as nb from o left join e using (i) where not o.held),
+r as (select 0::bigint as j, []::bigint[] as kept union all select q.j, case when q.pinned or q.h is not null or len(list_intersect(q.nb, r.kept)) > 0 then r.kept else list_append(r.kept, q.i) end from r join q on q.j = r.j + 1),
+z as (select kept from r order by j desc limit 1)"""
+
+
+@query(f"with recursive {ITEMS_SQL}, {STORY_SQL} select q.doc_id, k.doc_id as repeats, q.pinned from q cross join z left join o k on k.i = coalesce(q.h, list_min(list_intersect(q.nb, z.kept)))")
+def same_story_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the last days, and the earlier row that a row tells again: one of the days before, or of those kept; rows of one source are pinned."""
+    said = items(spark, sf_dir).select("title", F.explode(F.regexp_extract_all("title", F.lit(r"[\p{L}\p{N}]+"), 0)).alias("x"))
+    names = said.groupBy(F.lower("x").alias("w")).agg(F.bool_and(F.col("x") != F.lower("x")).alias("name")).filter("name").select("w")
+    sig = _signatures(spark, sf_dir).select("doc_id", "sig")
+    content = sig.select("doc_id", F.explode("sig").alias("w")).join(names, "w", "left_anti").groupBy("doc_id").agg(F.collect_list("w").alias("content"))
+    facts = items(spark, sf_dir).select("doc_id", "day", (F.col("day") < "2024-01-15").alias("held"), F.coalesce(F.col("source") == "src3", F.lit(False)).alias("pinned"))
+    rows = facts.join(sig, "doc_id").join(content, "doc_id", "left").withColumn("content", F.coalesce("content", F.array().cast("array<string>")))
+    return S.first_tellings(rows, "doc_id", "day").join(facts.select("doc_id", (F.col("pinned") & ~F.col("held")).alias("pinned")), "doc_id")
+
+
 @query(I + f", {WORDS} select distinct b.doc_id from (select a.doc_id as a, b.doc_id, count(*) as shared from s a join s b on a.w = b.w and a.doc_id < b.doc_id group by all) b join n x on b.a = x.doc_id join n y on b.doc_id = y.doc_id where shared * 100 >= 85 * least(x.n, y.n)")
 def near_duplicate_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows whose words overlap an earlier row's by 85 % of the smaller set, whether that one stays or not."""
@@ -107,7 +130,7 @@ def contamination_guard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""select a.event_id as a, b.event_id as b from events a join events b on a.user_id = b.user_id and a.event_type = b.event_type and a.event_id < b.event_id and abs(epoch(a.ts) - epoch(b.ts)) <= 3600""")
-def interval_event_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+def interval_event_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of one entity and topic within an hour: an equi-join on the hour and its neighbour, so no entity's rows all meet."""
     e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
     hour = 3_600_000_000
@@ -116,6 +139,24 @@ def interval_event_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.join(right, ["user_id", "event_type", "h"]).filter((F.col("event_id") < F.col("b")) & (F.abs(F.col("t") - F.col("t2")) <= hour)).select(F.col("event_id").alias("a"), "b")
 
 
+#: Capitalised words of a title stand for its entities, the language for its topic.
+EVENT_SQL = rf"""v as (select doc_id, category, day, {WHOLE_KEY_SQL} as key, list_distinct(regexp_extract_all(title, '\p{{Lu}}[\p{{L}}\p{{N}}]+')) as ents from items),
+g as (select doc_id, category, day, ents, case when length(key) < 2 then [key] else list_distinct(list_transform(range(1, length(key)), lambda i: substr(key, i, 2))) end as grams from v),
+e as (select a.doc_id as a, b.doc_id as b, len(list_intersect(a.grams, b.grams)) as k, len(a.grams) as x, len(b.grams) as y from g a join g b on a.category = b.category and a.doc_id < b.doc_id and abs(a.day - b.day) <= 2 and list_has_any(a.ents, b.ents)),
+nb as (select b, list(a) as before from e where 10 * k >= 3 * (x + y - k) group by b),
+q as (select doc_id, coalesce(before, []) as before, row_number() over (order by doc_id) as j from g left join nb on doc_id = b),
+r as (select 0::bigint as j, []::bigint[] as kept union all select q.j, case when len(list_intersect(q.before, r.kept)) > 0 then r.kept else list_append(r.kept, q.doc_id) end from r join q on q.j = r.j + 1),
+z as (select kept from r order by j desc limit 1)"""
+
+
+@query(f"with recursive {ITEMS_SQL}, {EVENT_SQL} select doc_id, coalesce(list_min(list_intersect(before, kept)), doc_id) as event from q cross join z")
+def interval_event_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document and the first one of its event: a shared entity, one topic, two days apart at most, titles with a bigram Jaccard of 0.3 or more."""
+    key = X.title_key(F.col("title"), None)
+    rows = items(spark, sf_dir).select("doc_id", F.col("category").alias("topic"), "day", F.array_distinct(F.regexp_extract_all("title", F.lit(r"\p{Lu}[\p{L}\p{N}]+"), 0)).alias("entities"), F.when(F.length(key) < 2, F.array(key)).otherwise(X.char_bigrams(key)).alias("grams"))
+    return interval_stars(rows, "doc_id", days=2, percent=30).withColumnRenamed("anchor", "event")
+
+
 @query("""select l_orderkey, l_linenumber, case when o_orderkey is null then 'NO_MATCH' when o_custkey = l_suppkey then 'SELF_REFERENCE' else 'MATCH' end as resolution from lineitem left join orders on l_partkey = o_orderkey""")
 def identifier_resolution_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_partkey") == F.col("o_orderkey"), "left")

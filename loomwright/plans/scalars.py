@@ -83,7 +83,8 @@ def url_host(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("path").alias("n_paths"))
 
 
-KEY_SQL = f"substr(regexp_replace(regexp_replace(lower({unescape_sql('title')}), '{X.BRACKETS}', ''), '[^\\p{{L}}\\p{{N}}_]+', '', 'g'), 1, 60)"
+WHOLE_KEY_SQL = f"regexp_replace(regexp_replace(lower({unescape_sql('title')}), '{X.BRACKETS}', ''), '[^\\p{{L}}\\p{{N}}_]+', '', 'g')"
+KEY_SQL = f"substr({WHOLE_KEY_SQL}, 1, 60)"
 
 
 @query(f"with {ITEMS_SQL} select doc_id, {KEY_SQL} as key from items")
