@@ -58,6 +58,49 @@ def shared_terms(df: DataFrame, row: str, terms: str, entity: str, *, least_rows
     return each.groupBy("term").agg(F.countDistinct(row).alias("n_rows"), F.countDistinct(entity).alias("n_entities")).filter((F.col("n_rows") >= least_rows) & (F.col("n_entities") >= least_entities))
 
 
+def term_changes(df: DataFrame, row: str, terms: str, entities: str, day: str, kind: str, vote: Column, *, least_rows: int = 2, least_entities: int = 2) -> DataFrame:
+    """term, n_rows, n_entities, n_entity_sets, first_seen, last_seen, kinds, direction, n_co_terms of the terms that ``least_rows`` rows, ``least_entities`` entities and as many different sets of entities share.
+
+    ``direction`` is the majority of the rows' votes; co-terms are the other terms of these rows, counted without collecting them.  ``kinds`` (joined by commas) are few.  Rows without terms or entities count for nothing.
+    """
+    facts = df.select(row, day, kind, vote.alias("_vote"), F.array_distinct(F.array_compact(terms)).alias("_terms"), F.array_sort(F.array_distinct(F.array_compact(entities))).alias("_set"))
+    each = facts.filter(F.size("_set") > 0).select("*", F.explode("_terms").alias("term"))
+    seen = each.select("term", row, day, kind, F.concat_ws("\x1f", "_set").alias("_s"), F.explode("_set").alias("_e"))
+    groups = seen.groupBy("term").agg(
+        F.countDistinct(row).alias("n_rows"),
+        F.countDistinct("_e").alias("n_entities"),
+        F.countDistinct("_s").alias("n_entity_sets"),
+        F.min(day).alias("first_seen"),
+        F.max(day).alias("last_seen"),
+        F.array_join(F.array_sort(F.collect_set(kind)), ",").alias("kinds"),
+    )
+    kept = groups.filter((F.col("n_rows") >= least_rows) & (F.col("n_entities") >= least_entities) & (F.col("n_entity_sets") >= least_entities))
+    others = each.select("term", F.explode("_terms").alias("_co")).filter("term <> _co").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_co_terms"))
+    directions = majority(each.select("term", "_vote"), "term", F.col("_vote"))
+    return kept.join(directions, "term", "left").join(others, "term", "left").withColumn("n_co_terms", F.coalesce("n_co_terms", F.lit(0)))
+
+
+def comparability(hard: Sequence[str], soft: Sequence[str], broken: str) -> tuple[Column, Column]:
+    """(verdict, reasons) for rows that hold two indicators as structs ``x`` and ``y``.
+
+    NOT_COMPARABLE with a break of either series, else at the first hard field that differs, which is the only reason; UNKNOWN when a hard field is null or ``UNKNOWN`` on a side; PARTIALLY when
+    a soft field differs that both have; else COMPARABLE.  An indicator that is null as a whole is UNKNOWN.
+    """
+
+    def value(side: str, field: str) -> Column:
+        v = F.col(f"{side}.{field}").cast("string")
+        return F.when(v != "UNKNOWN", v)
+
+    missing = F.col("x").isNull() | F.col("y").isNull()
+    breaks = F.coalesce(F.col(f"x.{broken}"), F.lit(False)) | F.coalesce(F.col(f"y.{broken}"), F.lit(False))
+    differs = F.coalesce(*[F.when(value("x", f) != value("y", f), f) for f in hard])
+    unknown = F.array_compact(F.array(*[F.when(value("x", f).isNull() | value("y", f).isNull(), f"{f} unknown") for f in hard]))
+    apart = F.array_compact(F.array(*[F.when(F.col(f"x.{f}").cast("string") != F.col(f"y.{f}").cast("string"), f) for f in soft]))
+    verdict = F.when(missing, "UNKNOWN").when(breaks | differs.isNotNull(), "NOT_COMPARABLE").when(F.size(unknown) > 0, "UNKNOWN").when(F.size(apart) > 0, "PARTIALLY").otherwise("COMPARABLE")
+    reasons = F.when(missing, "missing").when(breaks, "series break").when(differs.isNotNull(), differs).otherwise(F.array_join(F.concat(unknown, apart), ","))
+    return verdict, reasons
+
+
 def independent_counts(members: DataFrame, group: str, document: str, reports_on: DataFrame, source: str, aliases: DataFrame) -> DataFrame:
     """group, n_raw, n_documents, n_sources: documents collapse through one hop of ``reports_on`` (from, to), sources through ``aliases`` (alias, owner)."""
     hop = members.join(reports_on, F.col(document) == F.col("from"), "left").withColumn("_root", F.coalesce("to", document))

@@ -82,10 +82,24 @@ def field_keyword_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(I + r""", t as (select distinct doc_id, source, unnest(regexp_extract_all(lower(title), '[\p{L}\p{N}]+')) as term from items) select term, count(distinct doc_id) as n_rows, count(distinct source) as n_entities from t group by term having count(distinct doc_id) >= 2 and count(distinct source) >= 2""")
-def shared_term_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def shared_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.shared_terms(items(spark, sf_dir).withColumn("terms", X.words(F.col("title"))), "doc_id", "terms", "source")
 
 
+@query(I + r""", f as (select doc_id, day, category, case when contains(title, 'ing') then 'UP' when contains(title, 'tion') then 'DOWN' end as v, list_distinct(regexp_extract_all(lower(title), '[\p{L}\p{N}]+')) as terms, source || ',' || category as entities from items where source is not null and category is not null),
+t as (select doc_id, day, category, v, terms, entities, unnest(terms) as term from f), e as (select term, unnest(string_split(entities, ',')) as entity from t),
+g as (select term, count(*) as n_rows, count(distinct entities) as n_entity_sets, min(day) as first_seen, max(day) as last_seen, string_agg(distinct category, ',' order by category) as kinds from t group by 1),
+n as (select term, count(distinct entity) as n_entities from e group by 1), c as (select term, count(distinct co) as n_co_terms from (select term, unnest(terms) as co from t) where term <> co group by 1),
+w as (select term, v, count(*) as n from t group by all), b as (select term, sum(n) as total, max(n) filter (v is not null) as most from w group by 1),
+d as (select b.term, case when min(w.v) is null then 'OTHER' when most * 2 < total then 'SHIFTING' else min(w.v) end as direction from b left join w on b.term = w.term and w.v is not null and w.n = b.most group by b.term, most, total)
+select term, n_rows, n_entities, n_entity_sets, first_seen, last_seen, kinds, direction, coalesce(n_co_terms, 0) as n_co_terms from g join n using (term) join d using (term) left join c using (term) where n_rows >= 2 and n_entities >= 2 and n_entity_sets >= 2""")
+def shared_term_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms that titles of several sources and languages share, with their span, kinds, direction and number of co-terms."""
+    rows = items(spark, sf_dir).filter("source is not null and category is not null").withColumn("terms", X.words(F.col("title"))).withColumn("entities", F.array("source", "category"))
+    vote = F.when(F.col("title").contains("ing"), "UP").when(F.col("title").contains("tion"), "DOWN")
+    return A.term_changes(rows, "doc_id", "terms", "entities", "day", "category", vote)
+
+
 @query("""with v as (select user_id, case event_type when 'purchase' then 'UP' when 'signup' then 'UP' when 'error' then 'DOWN' end as v, count(*) as n from events group by all),
 b as (select user_id, sum(n) as total, max(n) filter (v is not null) as most from v group by user_id)
 select b.user_id, case when min(v.v) is null then 'OTHER' when most * 2 < total then 'SHIFTING' else min(v.v) end as direction from b left join v on b.user_id = v.user_id and v.v is not null and v.n = b.most group by b.user_id, most, total""")

@@ -115,11 +115,20 @@ def same_story_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.first_tellings(rows, "doc_id", "day").join(facts.select("doc_id", (F.col("pinned") & ~F.col("held")).alias("pinned")), "doc_id")
 
 
-@query(I + f", {WORDS} select distinct b.doc_id from (select a.doc_id as a, b.doc_id, count(*) as shared from s a join s b on a.w = b.w and a.doc_id < b.doc_id group by all) b join n x on b.a = x.doc_id join n y on b.doc_id = y.doc_id where shared * 100 >= 85 * least(x.n, y.n)")
+@query(I + f""", {WORDS}, o as (select distinct b.doc_id from (select a.doc_id as a, b.doc_id, count(*) as shared from s a join s b on a.w = b.w and a.doc_id < b.doc_id group by all) b join n x on b.a = x.doc_id join n y on b.doc_id = y.doc_id where shared * 100 >= 85 * least(x.n, y.n)),
+k as (select doc_id, array_to_string(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}]+'), ' ') as t, row_number() over (partition by array_to_string(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}]+'), ' ') order by doc_id) as i from items),
+f as (select distinct source, category from items where day = date '2024-01-01'), r as (select doc_id, 'TITLE' as reason from k where i > 1 and t <> '' union select doc_id, 'OVERLAP' from o union select doc_id, 'FAMILY' from items join f using (source, category) where day > date '2024-01-01')
+select doc_id, string_agg(reason, ',' order by reason) as reasons from r group by 1""")
 def near_duplicate_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows whose words overlap an earlier row's by 85 % of the smaller set, whether that one stays or not."""
-    found = S.overlap_pairs(_signatures(spark, sf_dir), "doc_id", "sig", percent=85)
-    return found.filter("shared * 100 >= 85 * least(n_a, n_b)").select(F.col("b").alias("doc_id")).distinct()
+    """Rows that repeat, with the reasons: an equal title before, words that overlap an earlier row's by 85 % of the smaller set, whether that one stays or not, a family of sources admitted on the first day."""
+    rows = items(spark, sf_dir).select("doc_id", "day", "source", "category", F.array_join(X.words(F.col("title")), " ").alias("t"))
+    found = S.overlap_pairs(_signatures(spark, sf_dir), "doc_id", "sig", percent=85).filter("shared * 100 >= 85 * least(n_a, n_b)").select(F.col("b").alias("doc_id")).distinct()
+    first = rows.filter("t <> ''").groupBy("t").agg(F.min("doc_id").alias("first"))
+    equal = rows.join(first, "t").filter("doc_id > first").select("doc_id", F.lit("TITLE").alias("reason"))
+    families = rows.filter("day = '2024-01-01'").select("source", "category").distinct()
+    family = rows.filter("day > '2024-01-01'").join(families, ["source", "category"], "left_semi").select("doc_id", F.lit("FAMILY").alias("reason"))
+    reasons = equal.unionByName(found.withColumn("reason", F.lit("OVERLAP"))).unionByName(family)
+    return reasons.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))
 
 
 @query(I + f", {GRAMS} select e.a, e.b from e join items x on a = x.doc_id join items y on b = y.doc_id where contains(x.title, 'tion') = contains(y.title, 'tion')")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import aggregate as A
 from ..operators import windows as W
 from ..registry import query
 from ..sources.tables import monthly_revenue, table
@@ -56,13 +57,15 @@ def latest_non_null_observation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newest.select("o_custkey", F.col("x.v").alias("value"), F.when(F.col("x").isNull(), "MISSING").otherwise("OK").alias("status"))
 
 
-@query("""select a.p_partkey as a, b.p_partkey as b, case when a.p_type <> b.p_type then 'NOT_COMPARABLE' when a.p_size <> b.p_size then 'PARTIALLY' else 'COMPARABLE' end as verdict, array_to_string(list_filter([case when a.p_type <> b.p_type then 'type' end, case when a.p_size <> b.p_size then 'size' end], lambda x: x is not null), ',') as reasons
-from part a join part b on a.p_brand = b.p_brand and a.p_name = b.p_name and a.p_partkey < b.p_partkey""")
+@query("""with i as (select *, p_size = 50 as broken, case when p_size = 1 then 'UNKNOWN' else p_type end as unit, case when p_size > 40 then null else p_size % 3 end as method from part)
+select a.p_partkey as a, b.p_partkey as b, case when a.broken or b.broken or (a.unit <> 'UNKNOWN' and b.unit <> 'UNKNOWN' and a.unit <> b.unit) then 'NOT_COMPARABLE' when a.unit = 'UNKNOWN' or b.unit = 'UNKNOWN' then 'UNKNOWN' when a.method <> b.method then 'PARTIALLY' else 'COMPARABLE' end as verdict,
+case when a.broken or b.broken then 'series break' when a.unit <> 'UNKNOWN' and b.unit <> 'UNKNOWN' and a.unit <> b.unit then 'unit' else array_to_string(list_filter([case when a.unit = 'UNKNOWN' or b.unit = 'UNKNOWN' then 'unit unknown' end, case when a.method <> b.method then 'method' end], lambda x: x is not null), ',') end as reasons
+from i a join i b on a.p_brand = b.p_brand and a.p_name = b.p_name and a.p_partkey < b.p_partkey""")
 def indicator_comparability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of indicators of one kind with the reasons against a comparison."""
-    p = table(spark, sf_dir, "part").select("p_brand", "p_name", "p_partkey", "p_type", "p_size")
-    b = p.select("p_brand", "p_name", F.col("p_partkey").alias("b"), F.col("p_type").alias("t"), F.col("p_size").alias("s"))
-    j = p.join(b, ["p_brand", "p_name"]).filter("p_partkey < b")
-    hard, soft = F.col("p_type") != F.col("t"), F.col("p_size") != F.col("s")
-    reasons = F.array_join(F.array_compact(F.array(F.when(hard, "type"), F.when(soft, "size"))), ",")
-    return j.select(F.col("p_partkey").alias("a"), "b", F.when(hard, "NOT_COMPARABLE").when(soft, "PARTIALLY").otherwise("COMPARABLE").alias("verdict"), reasons.alias("reasons"))
+    """Pairs of indicators of one kind with the reasons against a comparison: breaks, a hard field that differs or is unknown, a soft one that differs."""
+    unit = F.when(F.col("p_size") == 1, "UNKNOWN").otherwise(F.col("p_type")).alias("unit")
+    method = F.when(F.col("p_size") <= 40, F.col("p_size") % 3).alias("method")
+    i = table(spark, sf_dir, "part").select("p_brand", "p_name", F.struct("p_partkey", (F.col("p_size") == 50).alias("broken"), unit, method).alias("x"))
+    both = i.join(i.withColumnRenamed("x", "y"), ["p_brand", "p_name"]).filter("x.p_partkey < y.p_partkey")
+    verdict, reasons = A.comparability(["unit"], ["method"], "broken")
+    return both.select(F.col("x.p_partkey").alias("a"), F.col("y.p_partkey").alias("b"), verdict.alias("verdict"), reasons.alias("reasons"))

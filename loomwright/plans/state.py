@@ -171,11 +171,12 @@ def stream_dedupe_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("user_id", "event_type", F.date_trunc("hour", "ts").alias("h")).agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id")).select("event_id")
 
 
-@query(f"""with recursive {ITEMS_SQL}, k as (select doc_id, day, dense_rank() over (order by sha1(body)) as x, dense_rank() over (order by {KEY_SQL}) as y from items),
-o as (select *, row_number() over (order by day, doc_id) as i from k),
-r as (select 0::bigint as i, []::struct(x bigint, y bigint, day date, doc_id bigint)[] as kept union all
-  select o.i, case when len(list_filter(r.kept, lambda m: (m.x = o.x or m.y = o.y) and o.day - m.day <= 7)) > 0 then r.kept else list_append(r.kept, {{'x': o.x, 'y': o.y, 'day': o.day, 'doc_id': o.doc_id}}) end from r join o on o.i = r.i + 1),
-z as (select unnest(kept) as m from (select kept from r order by i desc limit 1)) select m.doc_id as doc_id, m.day as day from z""")
+@query(f"""with recursive {ITEMS_SQL}, k as (select doc_id, day, sha1(body) as x, {KEY_SQL} as y, row_number() over (order by day, doc_id) as i from items),
+m as (select a.i as a, b.i as b from k a join k b on a.x = b.x union select a.i, b.i from k a join k b on a.y = b.y),
+nb as (select b, list(a) as before from m join k x on x.i = a join k z on z.i = b where a < b and z.day - x.day <= 7 group by b),
+o as (select k.i, doc_id, day, coalesce(before, []) as before from k left join nb on k.i = b),
+r as (select 0::bigint as i, []::bigint[] as kept union all select o.i, case when len(list_intersect(o.before, r.kept)) > 0 then r.kept else list_append(r.kept, o.i) end from r join o on o.i = r.i + 1),
+z as (select unnest(kept) as i from (select kept from r order by i desc limit 1)) select doc_id, day from o join z using (i)""")
 def stream_dedupe_7d(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that neither in content nor in title repeat one kept within seven days; one that goes is not remembered.  ``streaming.batches.dedupe_batch`` is the stream's form."""
     rows = items(spark, sf_dir).select("doc_id", F.sha1("body").alias("content"), X.title_key(F.col("title")).alias("key"), F.datediff("day", F.lit("1970-01-01").cast("date")).alias("at"))
