@@ -34,7 +34,10 @@ both_ as (select a, b from e union select b, a from e), reach as (select distinc
 select node as doc_id, label as cluster, count(*) over (partition by label) as size from r""")
 def title_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles linked by word Jaccard of 0.5 or more, with the size of their cluster."""
-    found = connected_components(S.jaccard_pairs(_signatures(spark, sf_dir), "doc_id", "sig", percent=50))
+    classes, members = S.set_classes(_signatures(spark, sf_dir), "doc_id", "sig")
+    links = S.jaccard_pairs(classes, "doc_id", "sig", percent=50, in_pairs=True).select("a", "b")
+    # a row of its class, not with itself: rows without a link have no cluster
+    found = connected_components(links.unionByName(members.filter("doc_id <> of").select(F.col("of").alias("a"), F.col("doc_id").alias("b"))))
     return found.join(found.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "size")
 
 
