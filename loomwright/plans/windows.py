@@ -19,10 +19,11 @@ def cap_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.cap_per_group(items(spark, sf_dir), ["category", "source"], [F.desc("day"), F.asc("doc_id")], 6, F.col("doc_id") % 50 == 0).select("doc_id", "category", "source")
 
 
-@query("""with r as (select *, row_number() over (partition by l_orderkey order by case l_returnflag when 'N' then 2 when 'A' then 4 else 8 end, l_shipdate, l_linenumber) as k from lineitem) select l_orderkey, l_linenumber, l_suppkey from r where k = 1""")
+@query("""with r as (select *, row_number() over (partition by l_orderkey order by case l_returnflag when 'N' then 2 when 'A' then 4 else 8 end, l_shipdate, l_linenumber, l_suppkey) as k from lineitem) select l_orderkey, l_linenumber, l_suppkey from r where k = 1""")
 def select_primary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best line of each order by priority, date, line number and supplier, as lines of one number are not unique."""
     priority = F.when(F.col("l_returnflag") == "N", 2).when(F.col("l_returnflag") == "A", 4).otherwise(8)
-    return W.pick_one(table(spark, sf_dir, "lineitem"), ["l_orderkey"], [priority, F.col("l_shipdate"), F.col("l_linenumber")]).select("l_orderkey", "l_linenumber", "l_suppkey")
+    return W.pick_one(table(spark, sf_dir, "lineitem"), ["l_orderkey"], [priority, F.col("l_shipdate"), F.col("l_linenumber"), F.col("l_suppkey")]).select("l_orderkey", "l_linenumber", "l_suppkey")
 
 
 @query("""select user_id, arg_max(event_id, (ts, event_id)) as lead, min(case event_type when 'purchase' then 1 when 'signup' then 2 else 3 end)::bigint as best_tier, string_agg(distinct event_type, ',' order by event_type) as kinds from events group by user_id""")
