@@ -116,13 +116,11 @@ def rank_sentences(parts: list[str], keep: int, rounds: int = 40) -> list[int]:
     """Places of the ``keep`` highest-ranked sentences: damped iteration on the cosine of character bigrams, the first sentence ahead by 0.3."""
     if len(parts) <= keep:
         return list(range(len(parts)))
-    names: dict[str, int] = {}
-    cells = [(i, names.setdefault(s[j : j + 2], len(names))) for i, s in enumerate(parts) for j in range(len(s) - 1)]
+    cells = _bigrams(parts)
     if len(parts) > DENSE:
-        return _top(_sparse_scores(len(parts), np.array(cells, np.int64).reshape(-1, 2), rounds), keep)
-    m = np.zeros((len(parts), max(1, len(names))), np.float32)
-    if cells:
-        np.add.at(m, tuple(np.array(cells).T), 1)
+        return _top(_sparse_scores(len(parts), cells, rounds), keep)
+    width = int(cells[:, 1].max(initial=0)) + 1
+    m = np.bincount(cells[:, 0] * width + cells[:, 1], minlength=len(parts) * width).reshape(-1, width).astype(np.float32)
     m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
     near = m @ m.T
     np.fill_diagonal(near, 0)
@@ -133,6 +131,17 @@ def rank_sentences(parts: list[str], keep: int, rounds: int = 40) -> list[int]:
     return _top(score, keep)
 
 
+def _bigrams(parts: list[str]) -> np.ndarray:
+    """(sentence, number) of every pair of neighbouring characters, numbered by first occurrence."""
+    codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    of = np.repeat(np.arange(len(parts)), [len(s) for s in parts])
+    inside = of[1:] == of[:-1]
+    _, first, number = np.unique((codes[:-1] << 21 | codes[1:])[inside], return_index=True, return_inverse=True)
+    rank = np.empty(len(first), np.int64)
+    rank[np.argsort(first)] = np.arange(len(first))
+    return np.stack([of[:-1][inside], rank[number]], axis=1)
+
+
 def _top(score: np.ndarray, keep: int) -> list[int]:
     score[0] += 0.3
     return sorted(np.argsort(-score, kind="stable")[:keep].tolist())

@@ -42,3 +42,11 @@ def test_long_documents_are_ranked_whole(spark):
     got = terms.ranked(spark.createDataFrame([(1, " ".join(parts))], "doc_id long, body string")).orderBy("place").collect()
     assert [x.sentence for x in got] == want
     assert terms.rank_sentences(["x"] * 500, 3) == [0, 1, 2]
+
+
+def test_bigrams_are_counted_without_a_loop_over_characters():
+    parts = ["abab", "", "ba😀b", "x"]
+    names: dict[str, int] = {}
+    want = [(i, names.setdefault(s[j : j + 2], len(names))) for i, s in enumerate(parts) for j in range(len(s) - 1)]
+    assert list(map(tuple, terms._bigrams(parts).tolist())) == want
+    assert terms._bigrams([]).shape == terms._bigrams(["", "a"]).shape == (0, 2)
