@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import staged
+
 
 def cap_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], cap: Column | int, pinned: Column | None = None) -> DataFrame:
     """The first ``cap`` rows of each group; pinned rows all stay and don't count.
@@ -111,8 +113,18 @@ def momentum(df: DataFrame, group: str, day: str) -> DataFrame:
 
 
 def paged(df: DataFrame, group: str, order: Sequence[Column], per_page: int = 8) -> DataFrame:
-    """Adds the page number within the group."""
-    return df.withColumn("page", F.ceil(F.row_number().over(Window.partitionBy(group).orderBy(*order)) / per_page))
+    """Adds the page number within the group.
+
+    Rows are dealt by ranges of group and order and numbered within a range; what the group has in ranges before is added, so no task reads a group.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # written once, so counts and numbers see the same ranges
+    dealt = staged(df.repartitionByRange(parts, F.asc(group), *order).withColumn("_part", F.spark_partition_id()))
+    before = F.sum("_n").over(Window.partitionBy("_g").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    counts = dealt.groupBy(F.col("_part").alias("_p"), F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("_n")).select("_p", "_g", F.coalesce(before, F.lit(0)).alias("_before"))
+    numbered = dealt.withColumn("_k", F.row_number().over(Window.partitionBy("_part", group).orderBy(*order)))
+    placed = numbered.join(counts, (F.col("_part") == F.col("_p")) & F.col(group).eqNullSafe(F.col("_g")))
+    return placed.withColumn("page", F.ceil((F.col("_k") + F.col("_before")) / per_page)).select(*df.columns, "page")
 
 
 def series_trend(series: DataFrame, key: str, period: str, value: str) -> DataFrame:

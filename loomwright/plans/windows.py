@@ -56,7 +56,9 @@ def issue_momentum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(I + " select doc_id, category, cast(ceil(row_number() over (partition by category order by day desc, doc_id) / 8.0) as bigint) as page, substr(body, 1, 150) as summary from items")
 def paged_index_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.paged(items(spark, sf_dir), "category", [F.desc("day"), F.asc("doc_id")]).select("doc_id", "category", "page", F.substring("body", 1, 150).alias("summary"))
+    # texts are cut before rows are dealt
+    rows = items(spark, sf_dir).select("doc_id", "category", "day", F.substring("body", 1, 150).alias("summary"))
+    return W.paged(rows, "category", [F.desc("day"), F.asc("doc_id")]).select("doc_id", "category", "page", "summary")
 
 
 @query(I + """, c as (select source, count(*) as m from items group by 1), s as (select doc_id, case when m > 49 then 2 else 0 end + case when contains(title, 'tion') then 3 else 0 end + case when category = 'en' then 1 else 0 end as score,
