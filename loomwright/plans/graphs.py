@@ -11,6 +11,7 @@ from ..operators.graph import connected_components
 from ..operators.mentions import families, mentions
 from ..registry import ITEMS_SQL, query
 from ..sources.tables import items, table
+from ..storage import staged
 from .joins import MENTIONS_SQL, WORDS, _signatures, pages_as_rows
 
 I = f"with {ITEMS_SQL}"  # noqa: E741
@@ -57,10 +58,12 @@ def issue_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     o = orders.select("o_orderkey", F.concat_ws("|", "o_orderpriority", F.date_format("o_orderdate", "yyyy-MM")).alias("bucket"))
     l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey").distinct().join(o, "o_orderkey")  # noqa: E741
+    l = staged(l)  # noqa: E741
     sizes = l.groupBy("bucket").agg(F.countDistinct("o_orderkey").alias("all"))
-    uses = l.groupBy("bucket", "l_partkey").agg(F.count(F.lit(1)).alias("uses")).join(sizes, "bucket").filter("uses > 1 and uses <= greatest(5, 0.25 * all)")
-    edges = l.join(uses.select("bucket", "l_partkey"), ["bucket", "l_partkey"]).select(F.format_string("o%019d", "o_orderkey").alias("a"), F.concat_ws("|", F.lit("~"), "bucket", F.col("l_partkey").cast("string")).alias("b"))
-    found = connected_components(edges).filter(~F.col("node").startswith("~")).select("component", F.substring("node", 2, 30).cast("long").alias("o_orderkey"))
+    uses = l.groupBy("bucket", "l_partkey").agg(F.count(F.lit(1)).alias("uses"), F.min("o_orderkey").alias("b")).join(sizes, "bucket").filter("uses > 1 and uses <= greatest(5, 0.25 * all)")
+    # an order hangs on the first one with the part
+    edges = l.join(uses.select("bucket", "l_partkey", "b"), ["bucket", "l_partkey"]).select(F.col("o_orderkey").alias("a"), "b").distinct()
+    found = connected_components(edges).select("component", F.col("node").alias("o_orderkey"))
     nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey").join(nations, "c_nationkey")
     members = found.join(orders.select("o_orderkey", "o_custkey", "o_orderdate"), "o_orderkey").join(customers, "o_custkey")

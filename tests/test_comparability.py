@@ -46,3 +46,33 @@ def test_copies_of_indicators_make_no_pairs(spark):
     assert pairs == {(0, 0): (200, 200), (0, 200): (200, 3), (0, 300): (200, 1), (200, 200): (3, 3), (200, 300): (3, 1)}
     every = [(x, y) for x in rows for y in rows if x[0] < y[0] and x[1:3] == y[1:3]]
     assert len(every) == sum(n * (n - 1) // 2 if a == b else n * m for (a, b), (n, m) in pairs.items())
+
+
+def test_co_terms_are_those_of_all_pairs(spark):
+    import random
+
+    r = random.Random(5)
+    rows = [(k, sorted({f"w{int(r.expovariate(0.2))}" for _ in range(r.randrange(0, 9))} | ({f"only{k}"} if k % 3 == 0 else set()))) for k in range(120)]
+    rows += [(k + 200, terms) for k, terms in rows[:30]]
+    want = {}
+    for _, terms in rows:
+        for t in terms:
+            want.setdefault(t, set()).update(set(terms) - {t})
+    got = {x.term: x.n_co_terms for x in A.co_terms(spark.createDataFrame(rows, "id long, terms array<string>"), "terms").collect()}
+    assert {t: n for t, n in got.items() if n} == {t: len(x) for t, x in want.items() if x}
+
+
+def test_independent_counts_copy_no_rows_for_each_count(spark):
+    members = spark.createDataFrame([(1, 10, "p"), (1, 11, "q"), (1, 10, "q"), (2, 12, None), (None, 12, "p")], "g long, d long, s string")
+    got = A.independent_counts(members, "g", "d", spark.createDataFrame([(10, 99), (11, 99)], "from long, to long"), "s", spark.createDataFrame([("p", "o"), ("q", "o")], "alias string, owner string"))
+    assert {tuple(x) for x in got.collect()} == {(1, 2, 1, 1), (2, 1, 1, 0), (None, 1, 1, 1)}
+    assert "Expand" not in got._jdf.queryExecution().toString()
+
+
+def test_issues_link_orders_and_not_names_of_parts(spark, sf_dir, monkeypatch):
+    from loomwright.plans import graphs
+
+    seen, found = [], graphs.connected_components
+    monkeypatch.setattr(graphs, "connected_components", lambda edges: seen.append(edges) or found(edges))
+    assert graphs.issue_components(spark, sf_dir).columns == ["issue", "n_orders", "n_sources", "region"]
+    assert seen[0].dtypes == [("a", "bigint"), ("b", "bigint")]
