@@ -51,3 +51,22 @@ def test_families_chain_over_kinds_of_edges(spark):
     one, same = (1, 4, "SHARED_ORIGIN"), "DERIVED_FROM_SAME_SOURCE"
     assert found == {1: one, 2: one, 3: one, 4: one, 5: (5, 1, "UNKNOWN"), 6: (6, 2, "SHARED_ORIGIN"), 7: (6, 2, "SHARED_ORIGIN"), 8: (8, 1, "INDEPENDENT"), 9: (9, 2, same), 10: (9, 2, same),
                      11: (11, 1, "UNKNOWN"), 12: (12, 2, same), 13: (12, 2, same), 14: (14, 2, "SHARED_ORIGIN"), 15: (14, 2, "SHARED_ORIGIN")}
+
+
+def test_sql_takes_urls_by_the_rule_of_the_query(spark, tmp_path):
+    import duckdb
+
+    from loomwright import queries  # noqa: F401
+    from loomwright.registry import ORACLE_SQL, QUERIES
+
+    page = lambda title, text="": f"<html><title>{title}</title><p>{text}</p></html>"
+    rows = [
+        (1, "http://a.example.org/x?page=2&utm_source=f", page("a long first title")), (2, "http://a.example.org/x#top", page("another longer title", "a long first title")), (3, "HTTP://A.example.org/x/", page("third of all titles", "a long first title")),
+        (4, "http://b.example.com/", page("what is said", "see http://a.example.org/x?page=2. Another longer title")), (5, "http://c.example.com/", page("what is more", "another longer title, http://nowhere.org/")), (6, None, None), (7, "http://www.d.example.org:80/y", page("d")), (8, "http://e.example.com/y", page("e", "(http://www.d.example.org:80/y/?utm_medium=q)")),
+    ]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = {tuple(x) for x in QUERIES["url_or_title_mention_join"](spark, str(tmp_path)).select("page_id", "target", "method", "confidence").collect()}
+    duck = duckdb.connect()
+    duck.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == {tuple(x) for x in duck.sql(f"select page_id, target, method, confidence from ({ORACLE_SQL['url_or_title_mention_join']})").fetchall()}
+    assert got == {(3, 1, "TITLE", 0.85), (4, 1, "URL", 0.95), (5, 2, "TITLE", 0.85), (8, 7, "URL", 0.95)}
