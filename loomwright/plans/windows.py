@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import windows as W
+from ..operators.similarity import most_shared
 from ..registry import ITEMS_SQL, query
 from ..sources.tables import items, table
 
@@ -175,7 +176,6 @@ r as (select *, row_number() over (partition by conv_id order by score desc, doc
 def scoped_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each conversation's first question the 20 documents with most shared title terms: a top-k report."""
     first = table(spark, sf_dir, "conversations").filter("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
-    q = first.select("conv_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{6,}"), 0))).alias("t"))
-    n = items(spark, sf_dir).select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("title"), F.lit(r"[\p{L}]+"), 0))).alias("t")).filter(F.length("t") >= 6)
-    s = q.join(n, "t").groupBy("conv_id", "doc_id").agg((2 * F.count(F.lit(1))).alias("score"))
-    return W.cap_per_group(s, ["conv_id"], [F.desc("score"), F.asc("doc_id")], 20)
+    q = first.select("conv_id", F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{6,}"), 0).alias("terms"))
+    n = items(spark, sf_dir).select("doc_id", F.filter(F.regexp_extract_all(F.lower("title"), F.lit(r"[\p{L}]+"), 0), lambda t: F.length(t) >= 6).alias("terms"))
+    return most_shared(q, n, "conv_id", "doc_id", "terms", 20).select("conv_id", "doc_id", (2 * F.col("shared")).alias("score"))
