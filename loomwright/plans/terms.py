@@ -31,10 +31,10 @@ PHRASE_SQL = PHRASE.replace("'", "''")
 
 @query(I.replace("with ", "with recursive ", 1) + rf""", w as (select doc_id, {QUOTED} as w, list_transform(regexp_extract_all(lower(title), '{PHRASE_SQL}', 1), lambda x: trim(x)) as ts, 0::bigint as base from items union all select doc_id, {TITLE}, regexp_extract_all(lower(title), '{LETTERS}'), 1000000000 from items union all select doc_id, {BODY}, regexp_extract_all(lower(body), '{LETTERS}'), 2000000000 from items),
 t as (select doc_id, w, unnest(ts) as term, base + unnest(range(0, len(ts))) as place from w), s as (select doc_id, term, sum(w)::bigint as score, min(place) as place from t where term not in {STOP} and term <> '' and len(string_split(term, ' ')) <= {WORDS_OF_A_PHRASE} group by all),
-o as materialized (select *, row_number() over (partition by doc_id order by score desc, place) as k from s),
+o as materialized (select *, row_number() over (partition by doc_id order by score desc, place, term) as k from s),
 g as (select doc_id, k, [term] as held, [score] as scores from o where k = 1 union all
   select g.doc_id, o.k, case when len(list_filter(held, lambda y: contains(y, term) or contains(term, y))) > 0 then held else list_append(held, term) end, case when len(list_filter(held, lambda y: contains(y, term) or contains(term, y))) > 0 then scores else list_append(scores, score) end
-  from g join o on o.doc_id = g.doc_id and o.k = g.k + 1 where len(held) < 4),
+  from g join o on o.doc_id is not distinct from g.doc_id and o.k = g.k + 1 where len(held) < 4),
 f as (select doc_id, arg_max(held, k) as held, arg_max(scores, k) as scores from g group by 1)
 select doc_id, unnest(held) as term, unnest(scores) as score, unnest(range(1, len(held) + 1))::int as rank from f""")
 def key_terms(spark: SparkSession, sf_dir: str) -> DataFrame:

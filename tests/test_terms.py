@@ -50,3 +50,16 @@ def test_bigrams_are_counted_without_a_loop_over_characters():
     want = [(i, names.setdefault(s[j : j + 2], len(names))) for i, s in enumerate(parts) for j in range(len(s) - 1)]
     assert list(map(tuple, terms._bigrams(parts).tolist())) == want
     assert terms._bigrams([]).shape == terms._bigrams(["", "a"]).shape == (0, 2)
+
+
+def test_sql_of_key_terms_leaves_no_ties_and_keeps_rows_without_id(spark, tmp_path):
+    import duckdb
+
+    from loomwright.registry import ORACLE_SQL
+
+    rows = [(k % 9 if k % 9 else None, f"title{chr(97 + k % 23)}word{chr(97 + k % 7)} other{chr(98 + k % 19)}\nbody{chr(97 + k % 11)} texts", "en", "s") for k in range(90)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(x) for x in terms.key_terms(spark, str(tmp_path)).select("doc_id", "term", "score", "rank").collect()}
+    duck = duckdb.connect()
+    duck.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == {tuple(x) for x in duck.sql(f"select doc_id, term, score, rank from ({ORACLE_SQL['key_terms']})").fetchall()}
