@@ -26,6 +26,8 @@ LETTERS = r"[\p{L}]{5,}"
 MARKS, QUOTED_LENGTHS = {"'": "'", '"': '"', "‘": "’", "“": "”"}, (2, 14)
 #: Any opening mark, no closing one, and any closing mark.
 PHRASE = "[{}]([^{}]{{{},{}}})[{}]".format("".join(MARKS), "".join(MARKS.values()), *QUOTED_LENGTHS, "".join(MARKS.values()))
+#: Spaces of any width at the ends of a phrase, which SQL's trim drops too.
+SPACES = r"^\p{Zs}+|\p{Zs}+$"
 PHRASE_SQL = PHRASE.replace("'", "''")
 
 
@@ -51,9 +53,9 @@ def weighted_terms(documents: DataFrame, keep: int) -> DataFrame:
         return F.transform(F.coalesce(terms, F.array().cast("array<string>")), lambda t, i: F.struct(t.alias("term"), F.lit(w).alias("w"), (i + F.lit(base).cast("long")).alias("place")))
 
     every = F.concat(
-        placed(F.transform(F.regexp_extract_all(F.lower("title"), F.lit(PHRASE), 1), F.trim), QUOTED, 0),
-        placed(F.regexp_extract_all(F.lower("title"), F.lit(LETTERS), 0), TITLE, 1_000_000_000),
-        placed(F.regexp_extract_all(F.lower("body"), F.lit(LETTERS), 0), BODY, 2_000_000_000),
+        placed(F.transform(F.regexp_extract_all(X.lower(F.col("title")), F.lit(PHRASE), 1), lambda x: F.regexp_replace(x, SPACES, "")), QUOTED, 0),
+        placed(F.regexp_extract_all(X.lower(F.col("title")), F.lit(LETTERS), 0), TITLE, 1_000_000_000),
+        placed(F.regexp_extract_all(X.lower(F.col("body")), F.lit(LETTERS), 0), BODY, 2_000_000_000),
     )
     each = documents.select("doc_id", F.explode(every).alias("x")).select("doc_id", "x.*").filter(~F.col("term").isin(*STOP) & (F.col("term") != "") & (F.size(F.split("term", " ")) <= WORDS_OF_A_PHRASE))
     scored = each.groupBy("doc_id", "term").agg(F.sum("w").alias("score"), F.min("place").alias("place"))

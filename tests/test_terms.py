@@ -63,3 +63,19 @@ def test_sql_of_key_terms_leaves_no_ties_and_keeps_rows_without_id(spark, tmp_pa
     duck = duckdb.connect()
     duck.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     assert got == {tuple(x) for x in duck.sql(f"select doc_id, term, score, rank from ({ORACLE_SQL['key_terms']})").fetchall()}
+
+
+def test_words_are_lowered_letter_by_letter_and_phrases_lose_wide_spaces(spark, tmp_path):
+    import duckdb
+
+    from loomwright import queries  # noqa: F401
+    from loomwright.registry import ORACLE_SQL, QUERIES
+
+    texts = ["ΣΊΣΥΦΟΣ ΟΔΥΣΣΕΑΣ\nΟΔΥΣΣΕΑΣ", "İSTANBUL istanbul\nİSTANBULLU", "“ Red Moon ” rises\nover there", None]
+    spark.createDataFrame([(k, t, "de", "src1", 1) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("key_terms", "title_key"):
+        got = QUERIES[name](spark, str(tmp_path))
+        want = duck.sql(ORACLE_SQL[name])
+        assert sorted(tuple(x) for x in got.select(*want.columns).fillna("").collect()) == sorted(tuple("" if v is None else v for v in x) for x in want.fetchall())
