@@ -11,7 +11,7 @@ from loomwright import queries  # noqa: F401
 from loomwright.registry import ORACLE_SQL, QUERIES
 
 WORDS = "Alphacorp launches platform contract satellite Betaworks mention worthless ΟΔΥΣΣΕΥΣ İSTANBUL école Straße 서울시청 한국뉴스 pathetic Gammasoft 𐐀deseret".split()
-NAMES = ["trusted_similarity_lookup", "fuzzy_title_join", "contamination_guard_join", "same_story_pairs"]
+NAMES = ["trusted_similarity_lookup", "fuzzy_title_join", "contamination_guard_join", "same_story_pairs", "pair_score_join"]
 
 
 @pytest.fixture(scope="module")
